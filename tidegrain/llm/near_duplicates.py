@@ -1,13 +1,15 @@
 """Pairs of records whose word sets are nearly the same.
 
 Size-aware heavy-light join.  Words are ordered by how many records hold them,
-rarest first.  Two sets with Jaccard similarity t or more share at least K words
-among the first (size - ceil(t * size) + K) of each.  Small sets therefore
-enumerate all K-subsets of that prefix and meet where a subset is equal; large
-sets, whose subsets would be too many, scan the inverted lists of the shorter
-1-prefix instead.  The boundary between small and large is the size at which
-the estimated cost of both parts together is least.  Words that only one record
-holds can't be shared and are left out of subsets and lists.
+rarest first.  Two sets with Jaccard similarity t or more share at least k words
+among the first (size - ceil(t * size) + k) of each, the k-prefix.  Small sets
+therefore enumerate the 3-subsets of their prefixes and meet where a subset is
+equal; large sets, whose subsets would be too many, scan the inverted lists of
+the words of their 1-prefix instead.  The boundary between small and large is
+the size at which the estimated cost of both parts together is least.  A subset
+whose first word or first two words are held by few sets anyway stops there: the
+three rarest shared words of a pair begin with them on both sides, so no pair is
+lost.  Words that only one record holds can't be shared and are left out.
 
 Records with equal word sets form a class and are joined once.
 """
@@ -28,6 +30,10 @@ from tidegrain.runtime import join_small, stage
 
 #: Words in an enumerated subset.
 K = 3
+#: Sets expected to hold a word, or two words together, for a subset to end.
+FEW = 16
+#: Times as often as by chance that two words may stand together.
+LIFT = 8
 #: Shared-word counts of at most this many words are sent to all executors (16
 #: bytes a word); beyond it they are joined by a shuffle.
 BROADCAST_WORDS = 2_000_000
@@ -47,29 +53,33 @@ def _required(size: np.ndarray, threshold: float) -> np.ndarray:
 
 
 @cache
-def _subsets(n: int) -> np.ndarray:
-    return np.array(list(combinations(range(n), K)), dtype=np.int32).reshape(-1, K)
+def _subsets(n: int, k: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), k)), dtype=np.int32).reshape(-1, k)
 
 
 def _order(ranked: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
-    """Per set: the shared words of its K-prefix in rank order, and costs."""
+    """Per set: the shared words of its K-prefix in rank order with their
+    counts, how many of them are in the 1- and 2-prefix, and costs."""
+    columns = ["class_id", "size", "prefix", "counts", "first", "second", "subset_cost", "list_cost"]
     for batch in ranked:
         out = []
-        for cls, size, words, counts in zip(batch["class_id"], batch["size"], batch["words"], batch["counts"], strict=True):
-            need = int(_required(np.array(size), threshold))
-            order = np.lexsort((words, counts))
-            first, longer = order[: size - need + 1], order[: size - need + K]
-            longer = longer[counts[longer] > 1]
-            first = first[counts[first] > 1]
-            out.append((cls, size, words[longer], len(first), comb(len(longer), K), int(counts[first].sum())))
-        yield pd.DataFrame(out, columns=["class_id", "size", "prefix", "first", "subset_cost", "list_cost"])
+        needs = _required(batch["size"].to_numpy(), threshold).tolist()
+        for cls, size, need, words, counts in zip(batch["class_id"], batch["size"], needs, batch["words"], batch["counts"], strict=True):
+            order = np.lexsort((words, counts))[: size - need + K]
+            n = counts[order]
+            shared = n > 1
+            first, second = int(shared[: size - need + 1].sum()), int(shared[: size - need + 2].sum())
+            order, n = order[shared], n[shared]
+            rare = int((n[:first] <= FEW).sum())
+            out.append((cls, size, words[order], n, first, second, int(n[:rare].sum()) + comb(len(n) - rare, K), int(n[:first].sum())))
+        yield pd.DataFrame(out, columns=columns)
 
 
 def _with_counts(sets: DataFrame, threshold: float, limit: int) -> DataFrame:
     """Sets with the number of sets that hold each of their words."""
     counts = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
     counts = stage(counts.select("word", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")))
-    schema = "class_id long, size int, prefix array<long>, first int, subset_cost long, list_cost long"
+    schema = "class_id long, size int, prefix array<long>, counts array<int>, first int, second int, subset_cost long, list_cost long"
     if counts.count() <= limit:
         shared = counts.toPandas()
         by_word = np.argsort(shared["word"].to_numpy())
@@ -109,23 +119,43 @@ def _boundary(prefixes: DataFrame) -> int:
     return at
 
 
-def _enumerate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, class_id, size) for each K-subset of each prefix."""
-    for batch in batches:
-        length = batch["prefix"].map(len).to_numpy()
-        for n in np.unique(length[length >= K]):
-            rows = np.flatnonzero(length == n)
-            which = _subsets(int(n))
-            for part in np.array_split(rows, max(1, len(rows) * len(which) // 200_000)):
-                words = np.sort(np.stack(batch["prefix"].to_numpy()[part]), axis=1).astype(np.uint64)
-                key = np.zeros((len(part), len(which)), np.uint64)
-                for j in range(K):
-                    key = (key ^ words[:, which[:, j]]) * np.uint64(0x9E3779B97F4A7C15)
-                    key ^= key >> np.uint64(29)
-                yield pd.DataFrame({
-                    "key": key.ravel().view(np.int64), "class_id": np.repeat(batch["class_id"].to_numpy()[part], len(which)),
-                    "size": np.repeat(batch["size"].to_numpy()[part], len(which)),
-                })
+def _key(words: np.ndarray) -> np.ndarray:
+    """One long for the words in each row."""
+    key = np.full(len(words), words.shape[1], np.uint64)
+    for column in words.T:
+        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def _enumerator(total: int):  # noqa: ANN202
+    """Rows (key, class_id, size) for the subsets of the prefixes of ``total`` sets."""
+
+    def emit(part: pd.DataFrame, n: int) -> Iterator[pd.DataFrame]:
+        words = np.stack(part["prefix"].to_numpy()).astype(np.uint64)
+        counts = np.stack(part["counts"].to_numpy()).astype(np.float64)
+        first, second = part["first"].to_numpy()[:, None], part["second"].to_numpy()[:, None]
+        few = counts <= FEW
+        together = lambda i, j: counts[:, i] * counts[:, j] * (LIFT / total) <= FEW
+        ids, sizes = part["class_id"].to_numpy(), part["size"].to_numpy()
+        one, two, three = (_subsets(n, k) for k in (1, 2, 3))
+        open_two = ~few[:, two[:, 0]] & (two[:, 0] < first) & (two[:, 1] < second)
+        open_three = ~few[:, three[:, 0]] & (three[:, 0] < first) & (three[:, 1] < second) & ~together(three[:, 0], three[:, 1])
+        chosen = ((one, few & (np.arange(n) < first)), (two, open_two & together(two[:, 0], two[:, 1])), (three, open_three))
+        for which, mask in chosen:
+            rows, subset = np.nonzero(mask)
+            if len(rows):
+                yield pd.DataFrame({"key": _key(words[rows[:, None], which[subset]]), "class_id": ids[rows], "size": sizes[rows]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            length = batch["prefix"].map(len).to_numpy()
+            for n in np.unique(length[length > 0]):
+                rows = np.flatnonzero(length == n)
+                for part in np.array_split(rows, max(1, len(rows) * max(1, comb(int(n), K)) // 200_000)):
+                    yield from emit(batch.iloc[part], int(n))
+
+    return run
 
 
 def _meet(left: DataFrame, right: DataFrame, threshold: float, once: bool) -> DataFrame:
@@ -137,12 +167,6 @@ def _meet(left: DataFrame, right: DataFrame, threshold: float, once: bool) -> Da
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _repeated(keys: DataFrame) -> DataFrame:
-    """Rows whose key occurs more than once."""
-    many = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return keys.join(many, "key", "left_semi")
-
-
 def similar_classes(sets: DataFrame, threshold: float = 0.8, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """Pairs (a, b, a < b) of classes with Jaccard similarity >= threshold.
 
@@ -152,7 +176,8 @@ def similar_classes(sets: DataFrame, threshold: float = 0.8, broadcast_words: in
     """
     prefixes = stage(_with_counts(sets, threshold, broadcast_words))
     boundary = _boundary(prefixes)
-    light = prefixes.where(F.col("size") <= boundary).mapInPandas(_enumerate, "key long, class_id long, size int")
+    small = prefixes.where(F.col("size") <= boundary).select("class_id", "size", "prefix", "counts", "first", "second")
+    light = small.mapInPandas(_enumerator(prefixes.count()), "key long, class_id long, size int")
     pairs = _meet(light, light, threshold, True)
     reach = int(np.floor(threshold * (boundary + 1)))
     lists = prefixes.where(F.col("size") >= reach).select("class_id", "size", F.explode(F.slice("prefix", F.lit(1), F.col("first"))).alias("key"))
@@ -173,9 +198,11 @@ def word_sets(records: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]
     words = F.transform(F.array_distinct(word_list(F.col("text"))), lambda w: F.xxhash64(F.col("entity"), w))
     hashed = records.where("text IS NOT NULL AND id IS NOT NULL").select("entity", "id", F.array_sort(words).alias("words"))
     hashed = hashed.where(F.size("words") >= min_words).withColumn("class_id", F.xxhash64("words"))
-    staged = stage(hashed)
-    sets = staged.groupBy("class_id").agg(F.any_value("words").alias("words")).select("class_id", F.size("words").alias("size"), "words")
-    return staged.select("entity", "id", "class_id").distinct(), sets
+    rows = stage(hashed.withColumn("row", F.monotonically_increasing_id()))
+    copied = rows.groupBy("class_id").agg(F.min("row").alias("kept"), F.count("*").alias("n")).where("n > 1")
+    extra = stage(rows.select("row", "class_id").join(copied, "class_id").where("row != kept").select("row"))
+    sets = join_small(rows, extra, ["row"], "left_anti").select("class_id", F.size("words").alias("size"), "words")
+    return rows.select("entity", "id", "class_id").distinct(), sets
 
 
 def similar_records(records: DataFrame, threshold: float = 0.8, min_words: int = 20, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
@@ -190,7 +217,7 @@ def similar_records(records: DataFrame, threshold: float = 0.8, min_words: int =
     holds for the members of two similar classes.
     """
     members, sets = word_sets(records, min_words)
-    members, sets = stage(members), stage(sets)
+    members = stage(members)
     pairs = similar_classes(sets, threshold, broadcast_words)
     sizes = members.groupBy("class_id").agg(F.count("*").alias("n"), F.min("id").alias("least"))
     known = stage(members.join(sizes, "class_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrain.llm import near_duplicates, repeated_lines, similar_vectors
+from tidegrain.llm import languages, leaks, near_duplicates, repeated_lines, similar_vectors
 from tidegrain.sources.tables import table
 
 
@@ -28,7 +28,23 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return similar_vectors.similar_pairs(vectors)
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_clean_chunks": p6_clean_chunks, "p7_found": p7_found}
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
+def p9_passages(spark: SparkSession, root: str) -> DataFrame:
+    return leaks.leaked_passages(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return languages.wrong_labels(table(spark, root, "documents"), table(spark, root, "lang_samples"))
+
+
+def p10_stretches(spark: SparkSession, root: str) -> DataFrame:
+    return languages.stretches(table(spark, root, "documents"), table(spark, root, "lang_samples"))
+
+
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_clean_chunks": p6_clean_chunks, "p7_found": p7_found, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_stretches": p10_stretches}
 
 _LINES = r"""
 WITH once AS (SELECT DISTINCT chunk_no, doc_id, text FROM chunks WHERE text IS NOT NULL),
