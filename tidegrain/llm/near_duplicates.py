@@ -1,15 +1,19 @@
 """Pairs of records whose word sets are nearly the same.
 
-Size-aware heavy-light join.  Words are ordered by how many records hold them,
-rarest first.  Two sets with Jaccard similarity t or more share at least k words
-among the first (size - ceil(t * size) + k) of each, the k-prefix.  Small sets
-therefore enumerate the 3-subsets of their prefixes and meet where a subset is
-equal; large sets, whose subsets would be too many, scan the inverted lists of
-the words of their 1-prefix instead.  The boundary between small and large is
-the size at which the estimated cost of both parts together is least.  A subset
-whose first word or first two words are held by few sets anyway stops there: the
-three rarest shared words of a pair begin with them on both sides, so no pair is
-lost.  Words that only one record holds can't be shared and are left out.
+Size-aware heavy-light join.  The similarity bounds the number D of words that
+two sets of given sizes may differ in.  The vocabulary is hashed into D + 2
+parts, so at least two parts hold exactly the same words in both sets.  Small
+sets enumerate fixed-size subsets of their parts: every single part, and for
+parts whose words stand alike in many sets every pair of such parts, and meet
+where a subset is equal.  For large sets that would be too many; they scan the
+inverted lists of the words of their prefix, rarest words first, instead.  The
+boundary between small and large is the size at which the estimated cost of both
+ways together is least.  A bitmap of each set travels with it, so most pairs
+that are too different are seen to be before they are moved any further.
+
+Subsets of parts stand in for subsets of single words, because in a small
+vocabulary every affordable subset of words is held by a fixed share of all
+sets, and the lists would grow with the collection.
 
 Records with equal word sets form a class and are joined once.
 """
@@ -17,29 +21,24 @@ Records with equal word sets form a class and are joined once.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
-from itertools import combinations
-from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrain.runtime import join_small, stage
 
-#: Words in an enumerated subset.
-K = 3
-#: Sets expected to hold a word, or two words together, for a subset to end.
-FEW = 16
-#: Times as often as by chance that two words may stand together.
-LIFT = 8
-#: Shared-word counts of at most this many words are sent to all executors (16
+#: Sets that may share a part before it is taken in pairs with other parts.
+FEW = 256
+#: Shared-word counts of at most this many words are sent to all executors (12
 #: bytes a word); beyond it they are joined by a shuffle.
 BROADCAST_WORDS = 2_000_000
 #: Classes of equal word sets are expanded into all pairs up to this many
 #: members; in larger ones each member is paired with the least member.
 EXPAND_MEMBERS = 64
+#: Words looked at together in a worker.
+_SLICE = 400_000
 
 
 def word_list(text: Column) -> Column:
@@ -47,39 +46,129 @@ def word_list(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def _required(size: np.ndarray, threshold: float) -> np.ndarray:
-    """Least overlap with any set for a similarity of ``threshold``."""
-    return np.ceil(threshold * size - 1e-9).astype(np.int64)
+def _mix(x: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of unsigned longs."""
+    with np.errstate(over="ignore"):
+        x = (x ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
 
-@cache
-def _subsets(n: int, k: int) -> np.ndarray:
-    return np.array(list(combinations(range(n), k)), dtype=np.int32).reshape(-1, k)
+def size_levels(largest: int, threshold: float) -> np.ndarray:
+    """Upper ends of size intervals; sets that may be similar lie in the same
+    interval or in neighbouring ones."""
+    ends, start = [0], 1
+    while ends[-1] < largest:
+        ends.append(int(np.floor(start / threshold + 1e-9)))
+        start = ends[-1] + 1
+    return np.array([*ends, int(np.floor(start / threshold + 1e-9))])
 
 
-def _order(ranked: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
-    """Per set: the shared words of its K-prefix in rank order with their
-    counts, how many of them are in the 1- and 2-prefix, and costs."""
-    columns = ["class_id", "size", "prefix", "counts", "first", "second", "subset_cost", "list_cost"]
+def _differing(size: np.ndarray, threshold: float) -> np.ndarray:
+    """Most words in which two similar sets of at most ``size`` words differ."""
+    return np.floor((1 - threshold) / (1 + threshold) * 2 * size + 1e-9).astype(np.int64)
+
+
+def _slices(batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Parts of a batch with their words in one array and the set of each."""
+    ends = batch["size"].cumsum().to_numpy()
+    for part in np.array_split(np.arange(len(batch)), max(1, int(ends[-1]) // _SLICE) if len(batch) else 1):
+        if len(part):
+            rows = batch.iloc[part]
+            yield rows, np.concatenate(rows["words"].to_numpy()).astype(np.int64).view(np.uint64), np.repeat(np.arange(len(rows)), rows["size"])
+
+
+def _bitmaps(words: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Two longs in which each word of a set sets a bit of one."""
+    spread = _mix(words, 7)
+    bit, high = np.uint64(1) << (spread & np.uint64(63)), (spread >> np.uint64(6)) & np.uint64(1)
+    return [np.bitwise_or.reduceat(np.where(high == half, bit, np.uint64(0)), first).view(np.int64) for half in (0, 1)]
+
+
+def _part_keys(levels: np.ndarray, threshold: float):  # noqa: ANN202
+    """Rows (key, class_id, size, level, own, b0, b1): the words of each part,
+    at the level of the set's own size and at the next one."""
+    parts = _differing(levels, threshold) + 2
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for rows, words, of in _slices(batch):
+                size = rows["size"].to_numpy()
+                b0, b1 = _bitmaps(words, np.cumsum(size) - size)
+                own_level = np.searchsorted(levels, size)
+                for up in (0, 1):
+                    level = own_level + up
+                    n = parts[level]
+                    first = np.cumsum(n) - n
+                    part = (_mix(words, 11) % n[of].astype(np.uint64)).astype(np.int64)
+                    content = np.zeros(int(n.sum()), np.uint64)
+                    np.add.at(content, first[of] + part, _mix(words, 13))
+                    set_of = np.repeat(np.arange(len(rows)), n)
+                    number = np.arange(len(content)) - first[set_of]
+                    key = _mix(content ^ _mix((level[set_of] * 100_003 + number).astype(np.uint64), 17), 19)
+                    yield pd.DataFrame({
+                        "key": key.view(np.int64), "class_id": rows["class_id"].to_numpy()[set_of], "size": size[set_of],
+                        "level": level[set_of].astype(np.int32), "own": np.full(len(key), up == 0), "b0": b0[set_of], "b1": b1[set_of],
+                    })
+
+    return run
+
+
+def _similar_enough(threshold: float) -> Column:
+    """What two sets a, b of sizes and bitmaps fulfil if they are similar."""
+    a, b = F.col("size_a"), F.col("size_b")
+    fits = (a >= b * threshold - 1e-9) & (b >= a * threshold - 1e-9)
+    bits = F.bit_count(F.col("b0_a").bitwiseXOR(F.col("b0_b"))) + F.bit_count(F.col("b1_a").bitwiseXOR(F.col("b1_b")))
+    return fits & (bits <= (a + b) * ((1 - threshold) / (1 + threshold)) + 1e-9)
+
+
+def _meet(left: DataFrame, right: DataFrame, threshold: float, also: Column) -> DataFrame:
+    """Distinct class pairs that share a key and may be similar."""
+    side = lambda rows, x: rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in rows.columns if c != "key"))
+    pairs = side(left, "a").join(side(right, "b"), "key").where(also & _similar_enough(threshold))
+    return pairs.select(F.least("class_id_a", "class_id_b").alias("a"), F.greatest("class_id_a", "class_id_b").alias("b")).distinct()
+
+
+def _small_pairs(sets: DataFrame, largest: int, threshold: float, few: int) -> DataFrame:
+    """Candidate pairs of sets by equal parts."""
+    made = sets.mapInPandas(_part_keys(size_levels(largest, threshold), threshold), "key long, class_id long, size int, level int, own boolean, b0 long, b1 long")
+    counted = made.withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    columns = ["key", "class_id", "size", "own", "b0", "b1"]
+    order = (F.col("class_id_a") < F.col("class_id_b")) & (F.col("own_a") | F.col("own_b"))
+    light = counted.where(F.col("n").between(2, few)).select(*columns)
+    pairs = _meet(light, light, threshold, order)
+    many = stage(counted.where(F.col("n") > few).drop("n"))
+    if many.isEmpty():
+        return pairs
+    # the parts of one set at one level, as many as D + 2 at most
+    held = many.groupBy("class_id", "size", "level", "own", "b0", "b1").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    firsts = held.select("*", F.posexplode("keys").alias("i", "k1"))
+    both = firsts.select(*columns[1:], "k1", F.explode(F.slice("keys", F.col("i") + 2, F.size("keys"))).alias("k2"))
+    double = both.select(F.xxhash64("k1", "k2").alias("key"), *columns[1:])
+    return pairs.unionAll(_meet(double, double, threshold, order))
+
+
+def _prefixes(ranked: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+    """Per set: the shared words of its prefix, and what both ways would cost."""
     for batch in ranked:
-        out = []
-        needs = _required(batch["size"].to_numpy(), threshold).tolist()
-        for cls, size, need, words, counts in zip(batch["class_id"], batch["size"], needs, batch["words"], batch["counts"], strict=True):
-            order = np.lexsort((words, counts))[: size - need + K]
-            n = counts[order]
-            shared = n > 1
-            first, second = int(shared[: size - need + 1].sum()), int(shared[: size - need + 2].sum())
-            order, n = order[shared], n[shared]
-            rare = int((n[:first] <= FEW).sum())
-            out.append((cls, size, words[order], n, first, second, int(n[:rare].sum()) + comb(len(n) - rare, K), int(n[:first].sum())))
-        yield pd.DataFrame(out, columns=columns)
-
-
-def _with_counts(sets: DataFrame, threshold: float, limit: int) -> DataFrame:
-    """Sets with the number of sets that hold each of their words."""
+        need = np.ceil(threshold * batch["size"].to_numpy() - 1e-9).astype(np.int64)
+        size = batch["size"].to_numpy()
+        out, costs = [], []
+        for words, counts, length in zip(batch["words"], batch["counts"], (size - need + 1).tolist(), strict=True):
+            counts = np.asarray(counts)
+            at = np.lexsort((words, counts))[:length]
+            at = at[counts[at] > 1]
+            out.append(np.asarray(words)[at])
+            costs.append(int(counts[at].sum()))
+        subsets = 2 * (_differing(np.floor(size / threshold), threshold) + 2)
+        yield pd.DataFrame({"class_id": batch["class_id"], "size": size, "prefix": out, "subset_cost": subsets, "list_cost": costs})
+
+
+def _with_prefixes(sets: DataFrame, threshold: float, limit: int) -> DataFrame:
+    """Sets with the shared words of their prefix in order of rarity."""
     counts = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
     counts = stage(counts.select("word", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")))
-    schema = "class_id long, size int, prefix array<long>, counts array<int>, first int, second int, subset_cost long, list_cost long"
+    schema = "class_id long, size int, prefix array<long>, subset_cost long, list_cost long"
     if counts.count() <= limit:
         shared = counts.toPandas()
         by_word = np.argsort(shared["word"].to_numpy())
@@ -88,28 +177,24 @@ def _with_counts(sets: DataFrame, threshold: float, limit: int) -> DataFrame:
         def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words, n = sent.value
             for batch in batches:
-                counted = []
-                flat = np.concatenate([np.asarray(w) for w in batch["words"]]) if len(batch) else np.array([], np.int64)
-                at = np.minimum(np.searchsorted(words, flat), max(len(words) - 1, 0))
-                found = np.where(words[at] == flat, n[at], 1) if len(words) else np.ones(len(flat), np.int32)
-                start = 0
-                for w in batch["words"]:
-                    counted.append(found[start : start + len(w)])
-                    start += len(w)
-                yield batch.assign(counts=counted)
-
-        return sets.mapInPandas(lambda b: _order(look_up(b), threshold), schema)
+                for rows, flat, of in _slices(batch):
+                    flat = flat.view(np.int64)
+                    at = np.minimum(np.searchsorted(words, flat), max(len(words) - 1, 0))
+                    found = np.where(words[at] == flat, n[at], 1) if len(words) else np.ones(len(flat), np.int32)
+                    yield rows.assign(counts=np.split(found, np.flatnonzero(np.diff(of)) + 1))
+
+        return sets.mapInPandas(lambda b: _prefixes(look_up(b), threshold), schema)
     exploded = sets.select("class_id", "size", F.explode("words").alias("word"))
     salted = join_small(exploded, counts, ["word"], "left", limit=0)
     pair = F.collect_list(F.struct("word", F.coalesce("n", F.lit(1)).alias("n")))
     grouped = salted.groupBy("class_id", "size").agg(pair.alias("p")).select("class_id", "size", F.col("p.word").alias("words"), F.col("p.n").alias("counts"))
-    return grouped.mapInPandas(lambda b: _order(b, threshold), schema)
+    return grouped.mapInPandas(lambda b: _prefixes(b, threshold), schema)
 
 
 def _boundary(prefixes: DataFrame) -> int:
     """The largest size that enumerates subsets, by least estimated cost."""
     costs = prefixes.groupBy("size").agg(F.sum(F.col("subset_cost").cast("double")), F.sum(F.col("list_cost").cast("double"))).collect()
-    costs = sorted((size, light, heavy) for size, light, heavy in costs)  # one row per distinct set size
+    costs = sorted(tuple(r) for r in costs)  # one row per distinct set size
     best, at = sum(heavy for _, _, heavy in costs), 0
     total = best
     for size, light, heavy in costs:
@@ -119,69 +204,29 @@ def _boundary(prefixes: DataFrame) -> int:
     return at
 
 
-def _key(words: np.ndarray) -> np.ndarray:
-    """One long for the words in each row."""
-    key = np.full(len(words), words.shape[1], np.uint64)
-    for column in words.T:
-        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
-
-
-def _enumerator(total: int):  # noqa: ANN202
-    """Rows (key, class_id, size) for the subsets of the prefixes of ``total`` sets."""
-
-    def emit(part: pd.DataFrame, n: int) -> Iterator[pd.DataFrame]:
-        words = np.stack(part["prefix"].to_numpy()).astype(np.uint64)
-        counts = np.stack(part["counts"].to_numpy()).astype(np.float64)
-        first, second = part["first"].to_numpy()[:, None], part["second"].to_numpy()[:, None]
-        few = counts <= FEW
-        together = lambda i, j: counts[:, i] * counts[:, j] * (LIFT / total) <= FEW
-        ids, sizes = part["class_id"].to_numpy(), part["size"].to_numpy()
-        one, two, three = (_subsets(n, k) for k in (1, 2, 3))
-        open_two = ~few[:, two[:, 0]] & (two[:, 0] < first) & (two[:, 1] < second)
-        open_three = ~few[:, three[:, 0]] & (three[:, 0] < first) & (three[:, 1] < second) & ~together(three[:, 0], three[:, 1])
-        chosen = ((one, few & (np.arange(n) < first)), (two, open_two & together(two[:, 0], two[:, 1])), (three, open_three))
-        for which, mask in chosen:
-            rows, subset = np.nonzero(mask)
-            if len(rows):
-                yield pd.DataFrame({"key": _key(words[rows[:, None], which[subset]]), "class_id": ids[rows], "size": sizes[rows]})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            length = batch["prefix"].map(len).to_numpy()
-            for n in np.unique(length[length > 0]):
-                rows = np.flatnonzero(length == n)
-                for part in np.array_split(rows, max(1, len(rows) * max(1, comb(int(n), K)) // 200_000)):
-                    yield from emit(batch.iloc[part], int(n))
-
-    return run
-
-
-def _meet(left: DataFrame, right: DataFrame, threshold: float, once: bool) -> DataFrame:
-    """Distinct class pairs that share a key and may be similar by size."""
-    a = left.select("key", F.col("class_id").alias("a"), F.col("size").alias("size_a"))
-    b = right.select("key", F.col("class_id").alias("b"), F.col("size").alias("size_b"))
-    fits = (F.col("size_a") >= F.col("size_b") * threshold - 1e-9) & (F.col("size_b") >= F.col("size_a") * threshold - 1e-9)
-    pairs = a.join(b, "key").where(fits & (F.col("a") < F.col("b") if once else F.col("a") != F.col("b")))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _with_bitmaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for rows, words, _ in _slices(batch):
+            b0, b1 = _bitmaps(words, (rows["size"].cumsum() - rows["size"]).to_numpy())
+            yield pd.DataFrame({"class_id": rows["class_id"], "b0": b0, "b1": b1})
 
 
-def similar_classes(sets: DataFrame, threshold: float = 0.8, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def similar_classes(sets: DataFrame, threshold: float = 0.8, broadcast_words: int = BROADCAST_WORDS, few: int = FEW, boundary: int | None = None) -> DataFrame:
     """Pairs (a, b, a < b) of classes with Jaccard similarity >= threshold.
 
-    ``sets``: class_id long, size int, words array<long> (distinct, hashed).
-    Sets have to be of at least K words over the threshold (``word_sets`` takes
-    care of it).
+    ``sets``: class_id long, size int, words array<long> (distinct, hashed, at
+    least one); a class given twice counts once.  ``boundary`` is chosen by
+    cost if it is not given.
     """
-    prefixes = stage(_with_counts(sets, threshold, broadcast_words))
-    boundary = _boundary(prefixes)
-    small = prefixes.where(F.col("size") <= boundary).select("class_id", "size", "prefix", "counts", "first", "second")
-    light = small.mapInPandas(_enumerator(prefixes.count()), "key long, class_id long, size int")
-    pairs = _meet(light, light, threshold, True)
-    reach = int(np.floor(threshold * (boundary + 1)))
-    lists = prefixes.where(F.col("size") >= reach).select("class_id", "size", F.explode(F.slice("prefix", F.lit(1), F.col("first"))).alias("key"))
-    pairs = pairs.unionAll(_meet(lists, lists.where(F.col("size") > boundary), threshold, False))
+    prefixes = stage(_with_prefixes(sets, threshold, broadcast_words))
+    at = _boundary(prefixes) if boundary is None else boundary
+    pairs = _small_pairs(sets.where(F.col("size") <= at), at, threshold, few)
+    if not prefixes.where(F.col("size") > at).isEmpty():
+        reach = int(np.floor(threshold * (at + 1)))
+        long = sets.where(F.col("size") >= reach)
+        bits = long.mapInPandas(_with_bitmaps, "class_id long, b0 long, b1 long")
+        lists = prefixes.where(F.col("size") >= reach).join(bits, "class_id").select(F.explode("prefix").alias("key"), "class_id", "size", "b0", "b1")
+        pairs = pairs.unionAll(_meet(lists, lists.where(F.col("size") > at), threshold, F.col("class_id_a") != F.col("class_id_b")))
     pairs = stage(pairs.distinct())
     members = stage(pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct())
     used = join_small(sets, members, ["class_id"], "left_semi", limit=BROADCAST_WORDS)
@@ -197,7 +242,7 @@ def word_sets(records: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]
     words, and (class_id, size, words) of their distinct word sets."""
     words = F.transform(F.array_distinct(word_list(F.col("text"))), lambda w: F.xxhash64(F.col("entity"), w))
     hashed = records.where("text IS NOT NULL AND id IS NOT NULL").select("entity", "id", F.array_sort(words).alias("words"))
-    hashed = hashed.where(F.size("words") >= min_words).withColumn("class_id", F.xxhash64("words"))
+    hashed = hashed.where(F.size("words") >= max(1, min_words)).withColumn("class_id", F.xxhash64("words"))
     rows = stage(hashed.withColumn("row", F.monotonically_increasing_id()))
     copied = rows.groupBy("class_id").agg(F.min("row").alias("kept"), F.count("*").alias("n")).where("n > 1")
     extra = stage(rows.select("row", "class_id").join(copied, "class_id").where("row != kept").select("row"))
@@ -205,35 +250,31 @@ def word_sets(records: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]
     return rows.select("entity", "id", "class_id").distinct(), sets
 
 
-def similar_records(records: DataFrame, threshold: float = 0.8, min_words: int = 20, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def similar_records(records: DataFrame, threshold: float = 0.8, min_words: int = 20, broadcast_words: int = BROADCAST_WORDS, few: int = FEW, boundary: int | None = None) -> DataFrame:
     """Distinct (entity, id_a, id_b), id_a < id_b, of similar records.
 
     ``records``: entity string, id long, text string; other columns are
     ignored.  Null texts and texts of fewer than ``min_words`` distinct words
     are no records; rows given twice count once; of records given with several
-    texts each text counts.  Pairs are between records of the same entity.
-    Records of equal word sets are a class: up to EXPAND_MEMBERS members every
-    pair comes out, in larger classes each member with the least one; the same
-    holds for the members of two similar classes.
+    texts each text counts.  An empty table gives no rows.  Pairs are between
+    records of the same entity.  Records of equal word sets are a class: up to
+    EXPAND_MEMBERS members every pair comes out, in larger classes each member
+    with the least one; the same holds for the members of two similar classes.
     """
     members, sets = word_sets(records, min_words)
     members = stage(members)
-    pairs = similar_classes(sets, threshold, broadcast_words)
+    pairs = stage(similar_classes(sets, threshold, broadcast_words, few, boundary))
     sizes = members.groupBy("class_id").agg(F.count("*").alias("n"), F.min("id").alias("least"))
     known = stage(members.join(sizes, "class_id"))
-    few = F.col("n_a") <= EXPAND_MEMBERS
     side = lambda x: known.select("entity", F.col("class_id").alias(x), F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), F.col("least").alias(f"least_{x}"))
     a, b = side("a"), side("b").drop("entity")
+    shown = lambda x: F.expr(f"n_{x} <= {EXPAND_MEMBERS} OR id_{x} = least_{x}")
+    linked = pairs.join(a.where(shown("a")), "a").join(b.where(shown("b")), "b").select("entity", "id_a", "id_b")
+    for x, y, s, t in (("a", "b", a, b), ("b", "a", b, a)):  # a large class's other members, each with the least one of the other class
+        rest = pairs.join(s.where(~shown(x)), x).join(t.where(f"id_{y} = least_{y}"), y)
+        linked = linked.unionByName(rest.select("entity", "id_a", "id_b"))
+    linked = linked.select("entity", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
     own = known.where(f"n > 1 AND n <= {EXPAND_MEMBERS}").groupBy("entity", "class_id").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     own = own.select("entity", F.posexplode("ids").alias("i", "id_a"), "ids").select("entity", "id_a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("id_b"))
     star = known.where(f"n > {EXPAND_MEMBERS} AND id != least").select("entity", F.col("least").alias("id_a"), F.col("id").alias("id_b"))
-    least_a = few | (F.col("id_a") == F.col("least_a"))
-    least_b = (F.col("n_b") <= EXPAND_MEMBERS) | (F.col("id_b") == F.col("least_b"))
-    linked = pairs.join(a, "a").where(least_a).join(b, "b").where(least_b)
-    # a large class's other members, each with the least member of the other class
-    other = lambda x, y, s, t: pairs.join(s.where(f"n_{x} > {EXPAND_MEMBERS} AND id_{x} != least_{x}"), x).join(t.where(f"id_{y} = least_{y}"), y)
-    linked = linked.select("entity", "id_a", "id_b")
-    linked = linked.unionByName(other("a", "b", a, b).select("entity", "id_a", "id_b"))
-    linked = linked.unionByName(other("b", "a", b, a).select("entity", "id_a", "id_b"))
-    linked = linked.where("id_a != id_b").select("entity", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
-    return linked.unionByName(own).unionByName(star).distinct()
+    return linked.unionByName(own).unionByName(star).where("id_a != id_b").distinct()
