@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrain.llm import languages, leaks, near_duplicates, repeated_lines, similar_vectors
+from tidegrain.llm import containers, languages, leaks, near_duplicates, percentiles, repeated_lines, similar_vectors
 from tidegrain.sources.tables import table
 
 
+def p2_percentiles(spark: SparkSession, root: str) -> DataFrame:
+    return percentiles.percentiles(percentiles.combine([percentiles.day_counts(table(spark, root, "analytics_runs"))]))
+
+
+def p2_rounded(spark: SparkSession, root: str) -> DataFrame:
+    return percentiles.percentiles(percentiles.combine([percentiles.day_counts(table(spark, root, "analytics_runs"), bits=8)]))
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     chunks = table(spark, root, "chunks").select(F.lit("chunk").alias("entity"), F.col("chunk_no").alias("id"), "text")
     summaries = table(spark, root, "documents").select(F.lit("summary").alias("entity"), F.col("doc_id").alias("id"), F.col("semantic_summary").alias("text"))
@@ -28,6 +36,10 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return similar_vectors.similar_pairs(vectors)
 
 
+def p8_containers(spark: SparkSession, root: str) -> DataFrame:
+    return containers.pack(table(spark, root, "documents"), table(spark, root, "context_budgets"))
+
+
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return leaks.leaked_items(table(spark, root, "documents"), table(spark, root, "eval_items"))
 
@@ -44,7 +56,7 @@ def p10_stretches(spark: SparkSession, root: str) -> DataFrame:
     return languages.stretches(table(spark, root, "documents"), table(spark, root, "lang_samples"))
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_clean_chunks": p6_clean_chunks, "p7_found": p7_found, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_stretches": p10_stretches}
+QUERIES = {"p2_percentiles": p2_percentiles, "p2_rounded": p2_rounded, "p8_containers": p8_containers, "p3_found": p3_found, "p6_found": p6_found, "p6_clean_chunks": p6_clean_chunks, "p7_found": p7_found, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_stretches": p10_stretches}
 
 _LINES = r"""
 WITH once AS (SELECT DISTINCT chunk_no, doc_id, text FROM chunks WHERE text IS NOT NULL),
@@ -56,7 +68,27 @@ many AS (SELECT host, key FROM hosted GROUP BY host, key HAVING count(DISTINCT d
 hits AS (SELECT DISTINCT chunk_no, line_no FROM hosted JOIN many USING (host, key))
 """
 
+_PERCENTILES = """
+WITH once AS (SELECT * FROM (
+  SELECT run_id, completed_at, nullif(trim(operation), '') AS operation, nullif(trim(lower(host)), '') AS host, latency_ms, packet_bytes,
+    row_number() OVER (PARTITION BY run_id ORDER BY completed_at DESC NULLS LAST, started_at DESC NULLS LAST, latency_ms DESC NULLS LAST, packet_bytes DESC NULLS LAST) AS rn
+  FROM analytics_runs WHERE run_id IS NOT NULL) WHERE rn = 1),
+readings AS (
+  SELECT operation, host, 'latency_ms' AS metric, {latency} AS value FROM once WHERE latency_ms >= 0
+  UNION ALL SELECT operation, host, 'packet_bytes', {bytes} FROM once WHERE packet_bytes >= 0),
+scoped AS (
+  SELECT 'operation' AS scope, operation, '' AS host, metric, value FROM readings WHERE operation IS NOT NULL
+  UNION ALL SELECT 'host', '', host, metric, value FROM readings WHERE host IS NOT NULL
+  UNION ALL SELECT 'operation_host', operation, host, metric, value FROM readings WHERE operation IS NOT NULL AND host IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY scope, operation, host, metric ORDER BY value) AS r, count(*) OVER (PARTITION BY scope, operation, host, metric) AS n FROM scoped)
+SELECT scope, operation, host, metric, percent, value::BIGINT AS value, n FROM ranked
+JOIN (SELECT unnest([50, 90, 95, 99])::INTEGER AS percent) ON r = greatest(1, (n * percent + 99) // 100)
+"""
+_ROUND = "(({0} >> greatest(0, (floor(log2(greatest({0}, 1)))::INTEGER - 7))) << greatest(0, (floor(log2(greatest({0}, 1)))::INTEGER - 7)))"
+
 SQL = {
+    "p2_percentiles": _PERCENTILES.format(latency="latency_ms", bytes="packet_bytes"),
+    "p2_rounded": _PERCENTILES.format(latency=_ROUND.format("latency_ms"), bytes=_ROUND.format("packet_bytes")),
     "p6_found": _LINES + "SELECT chunk_no, line_no FROM hits",
     "p6_clean_chunks": _LINES + """,
 gone AS (SELECT chunk_no, list(line_no) AS nos FROM hits GROUP BY chunk_no),
