@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrain.llm import containers, languages, leaks, near_duplicates, percentiles, repeated_lines, similar_vectors
+from tidegrain.llm import containers, languages, leaks, main_body, near_duplicates, percentiles, repeated_lines, residue, similar_vectors
 from tidegrain.sources.tables import table
 
 
@@ -23,6 +23,20 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return near_duplicates.similar_records(chunks.unionByName(summaries))
 
 
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    pages = residue.residue_pages(table(spark, root, "raw_pages")).select(F.lit("page").alias("entity"), F.col("page_no").alias("id"))
+    titles = residue.residue_titles(table(spark, root, "documents")).select(F.lit("document").alias("entity"), F.col("doc_id").alias("id"))
+    return pages.unionByName(titles)
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return main_body.not_main_body(table(spark, root, "simplified_nodes"))
+
+
+def p5_main_texts(spark: SparkSession, root: str) -> DataFrame:
+    return main_body.main_texts(table(spark, root, "simplified_nodes"))
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return repeated_lines.found_lines(table(spark, root, "chunks"), table(spark, root, "documents"))
 
@@ -56,7 +70,7 @@ def p10_stretches(spark: SparkSession, root: str) -> DataFrame:
     return languages.stretches(table(spark, root, "documents"), table(spark, root, "lang_samples"))
 
 
-QUERIES = {"p2_percentiles": p2_percentiles, "p2_rounded": p2_rounded, "p8_containers": p8_containers, "p3_found": p3_found, "p6_found": p6_found, "p6_clean_chunks": p6_clean_chunks, "p7_found": p7_found, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_stretches": p10_stretches}
+QUERIES = {"p2_percentiles": p2_percentiles, "p2_rounded": p2_rounded, "p8_containers": p8_containers, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_main_texts": p5_main_texts, "p6_found": p6_found, "p6_clean_chunks": p6_clean_chunks, "p7_found": p7_found, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_stretches": p10_stretches}
 
 _LINES = r"""
 WITH once AS (SELECT DISTINCT chunk_no, doc_id, text FROM chunks WHERE text IS NOT NULL),
