@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidegrain.plans import snapshot_queries
+from tidegrain.plans import analytics_queries, snapshot_queries
 
-_MODULES = [snapshot_queries]
+_MODULES = [snapshot_queries, analytics_queries]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
