@@ -44,19 +44,32 @@ def share(items: Column, holds) -> Column:  # noqa: ANN001
     return F.when(F.size(items) > 0, F.size(F.filter(items, holds)) / F.size(items)).otherwise(0.0)
 
 
+def trimmed_of(word: Column, signs: str) -> Column:
+    """A word without any of the signs at its ends."""
+    return F.regexp_replace(word, f"^[{signs}]+|[{signs}]+$", "")
+
+
+def all_upper(word: Column) -> Column:
+    """Holds upper-case ASCII letters and no lower-case ones."""
+    return word.rlike("[A-Z]") & ~word.rlike("[a-z]")
+
+
 def title_like_share(text: Column) -> Column:
-    """Share of words that begin with an upper-case ASCII letter or hold a digit."""
-    return share(fields(text), lambda w: w.rlike("^[A-Z]") | w.rlike("[0-9]"))
+    """Share of words of two characters or more that begin in upper case or are
+    all upper case, signs at their ends left out."""
+    bare = F.transform(fields(text), lambda w: trimmed_of(w, r"\[\](){}<>\"'`,"))
+    return share(bare, lambda w: (F.length(w) > 1) & (w.rlike("^[A-Z]") | all_upper(w)))
 
 
 def identifier_line(line: Column) -> Column:
     """At least half of the words hold ``_``, ``-`` or a digit or are upper case."""
-    return share(fields(line), lambda w: w.rlike("[_0-9-]") | w.rlike("^[A-Z]+$")) >= 0.5
+    bare = F.transform(fields(line), lambda w: trimmed_of(w, "\"'`,"))
+    return share(bare, lambda w: w.rlike("[_0-9-]") | all_upper(w)) >= 0.5
 
 
 def symbolic_line(line: Column) -> Column:
-    """Holds one of the signs of code and no sentence mark at its end."""
-    return line.rlike(r"[{}()\[\]=<>/_]") & ~line.rlike(r"[.!?]$")
+    """Holds one of the signs of code."""
+    return line.rlike(r"[_=:`{}\[\]();\\]")
 
 
 def sentences(text: Column) -> Column:
