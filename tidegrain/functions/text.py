@@ -30,7 +30,7 @@ def marks(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines that are not blank, trimmed."""
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
 
 
 def mean_length(items: Column, measure=F.length) -> Column:  # noqa: ANN001
@@ -73,8 +73,8 @@ def symbolic_line(line: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Pieces between . ! ? that are not blank, trimmed."""
-    return F.filter(F.transform(F.split(text, "[.!?]+"), F.trim), lambda x: x != "")
+    """Pieces between . ! ? that are not blank, each on one line."""
+    return F.filter(F.transform(F.split(text, "[.!?]+"), one_line), lambda x: x != "")
 
 
 def alnum_only(text: Column) -> Column:

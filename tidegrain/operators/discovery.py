@@ -28,16 +28,21 @@ def shallow_preferred(candidates: DataFrame) -> DataFrame:
     """url, host, family, depth, score with the boost of candidates that are
     shallower than others of their family within .35 of their score.
 
-    Scores before any boost are compared.  Pairs are not made: a candidate's
-    boosts follow from how many deeper ones there are at each depth and score,
-    counted by running sums over the family's (depth, score) steps.
+    Scores before any boost are compared.  Candidates are first counted by
+    (depth, score): scores are sums of fixed amounts, so a family has few such
+    steps however many candidates it has, and only steps meet each other.
     """
-    steps = candidates.groupBy("family", "host", "depth", "score").agg(F.count("*").alias("n"))
-    others = steps.select("family", F.col("host").alias("host2"), F.col("depth").alias("depth2"), F.col("score").alias("score2"), "n")
-    within = steps.drop("n").join(others, "family").where("depth < depth2 AND score2 - score <= 0.35")
-    boost = F.when((F.col("host") == F.col("host2")) & (F.col("depth") == 0), 0.28).when(F.col("depth") == 0, 0.18).otherwise(0.12)
-    sums = within.groupBy("family", "host", "depth", "score").agg(F.sum(boost * F.col("n")).alias("boost"))
-    return candidates.join(sums, ["family", "host", "depth", "score"], "left").withColumn("boosted", F.col("score") + F.coalesce("boost", F.lit(0.0)))
+
+    def deeper(group: str) -> DataFrame:
+        steps = candidates.groupBy(group, "depth", "score").agg(F.count("*").alias("n"))
+        others = steps.select(group, F.col("depth").alias("depth2"), F.col("score").alias("score2"), F.col("n").alias("more"))
+        within = steps.drop("n").join(others, group).where("depth < depth2 AND score2 - score <= 0.35")
+        return within.groupBy(group, "depth", "score").agg(F.sum("more").alias(f"deeper_{group}"))
+
+    joined = candidates.join(deeper("family"), ["family", "depth", "score"], "left").join(deeper("host"), ["host", "depth", "score"], "left")
+    of = lambda c: F.coalesce(c, F.lit(0))
+    boost = of("deeper_family") * F.when(F.col("depth") == 0, 0.18).otherwise(0.12) + F.when(F.col("depth") == 0, of("deeper_host") * 0.10).otherwise(0.0)
+    return joined.withColumn("boosted", F.col("score") + boost).drop("deeper_family", "deeper_host")
 
 
 def first_per_family(candidates: DataFrame, limit: int) -> DataFrame:
