@@ -177,8 +177,8 @@ def _host_priors(first: DataFrame) -> DataFrame:
     up = counts.select("domain", "n", F.posexplode(parents).alias("depth", "parent"))
     total = F.array(*(F.sum(F.col("n")[i]) for i in range(len(LANGUAGES))))
     sums = up.groupBy("parent").agg(total.alias("m"))
-    whole = counts.agg(total.alias("m")).first().m or [0.0] * len(LANGUAGES)
-    base = np.array(whole) + 1.0
+    whole = counts.agg(total.alias("m")).first().m
+    base = np.array([x or 0.0 for x in whole]) + 1.0
     levels = up.select("domain", "depth", "parent").join(sums, "parent")
     chain = levels.groupBy("domain").agg(F.reverse(F.array_sort(F.collect_list(F.struct("depth", "m")))).alias("chain"))  # at most as long as the name has parts
     start = F.array(*(F.lit(float(x)) for x in base / base.sum()))

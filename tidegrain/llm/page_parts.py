@@ -1,24 +1,19 @@
-"""HTML pages as text blocks: a tolerant single pass over the tags."""
+"""HTML pages as text blocks."""
 
 from __future__ import annotations
 
-import html
-import re
 from dataclasses import dataclass
 
-#: Tags (fixed values).
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style template head svg iframe object".split())
-BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li td th blockquote pre dd dt figcaption caption center noscript".split())
-#: Elements that an open block ends at, as its end tag may be missing.
-CLOSES = {"p": BLOCKS - {"center"} | frozenset("div ul ol table section article aside nav footer header form main hr".split()), "li": frozenset(["li"]), "td": frozenset("td th tr".split()), "th": frozenset("td th tr".split()), "tr": frozenset(["tr"]), "dd": frozenset("dd dt".split()), "dt": frozenset("dd dt".split())}
+from tidegrain.sources.html import Element, parse
+
+#: Tags (fixed values): without text of their own, that begin a block, that hold
+#: code, and that never hold the article where a page is marked up with them.
+UNSEEN = frozenset("script style template svg iframe object title".split())
+BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li td th blockquote pre dd dt figcaption caption center noscript hr".split())
+PARTS = frozenset("div ul ol dl table tbody thead tr section main article nav aside footer header form dialog menu".split())
 CODE = frozenset("pre code samp kbd textarea".split())
-#: Branches that never hold the article, where they are marked as such.
 ASIDE = frozenset("nav aside footer header form dialog menu".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<![^>]*>", re.S)
-_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "template", "iframe", "textarea")}
-
 
 @dataclass
 class Block:
@@ -34,67 +29,47 @@ class Block:
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks with text in document order; unclosed, nested and upper-case
-    tags, comments and entities are taken as browsers do in the main."""
+    """The blocks with text in document order.
+
+    A branch is a block or part directly below the body, or a run of text and
+    inline elements between two of them.
+    """
     out: list[Block] = []
-    stack: list[str] = []
     pieces: list[str] = []
-    branch, at = 0, 0
+    branch = 0
 
-    def emit() -> None:
-        text = html.unescape("".join(pieces)).replace("\xa0", " ")
+    def emit(tag: str, aside: bool, code: bool) -> None:
+        text = "".join(pieces).replace("\xa0", " ")
         pieces.clear()
         if text.strip():
-            tag = next((t for t in reversed(stack) if t in BLOCKS), "")
-            out.append(Block(tag, branch, any(t in ASIDE for t in stack), any(t in CODE for t in stack), " ".join(text.split()) if not any(t in CODE for t in stack) else text.strip()))
+            out.append(Block(tag, branch, aside, code, text.strip() if code else " ".join(text.split())))
 
-    def close(to: int) -> None:
+    def walk(element: Element, tag: str, aside: bool, code: bool, top: bool) -> None:
         nonlocal branch
-        emit()
-        del stack[to:]
-        if len([t for t in stack if t not in ("html", "body")]) == 0:
-            branch += 1
-
-    while True:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            break
-        if m.start() > at:
-            pieces.append(page[at : m.start()])
-        at = m.end()
-        if m.group(2) is None:
-            continue
-        tag, end = m.group(2).lower(), m.group(1) == "/"
-        if end:
-            if tag in stack:
-                close(len(stack) - 1 - stack[::-1].index(tag))
-            continue
-        if tag in UNSEEN:
-            if tag in _RAW:
-                stop = _RAW[tag].search(page, at)
-                at = stop.end() if stop else len(page)
+        for child in element.children:
+            if isinstance(child, str):
+                pieces.append(child)
+            elif child.tag == "br":
+                pieces.append("\n")
+            elif child.tag in UNSEEN:
+                continue
+            elif child.tag in BLOCKS or child.tag in PARTS:
+                emit(tag, aside, code)
+                branch += top
+                own = child.tag if child.tag in BLOCKS else tag
+                inside = (own, aside or child.tag in ASIDE, code or child.tag in CODE)
+                walk(child, *inside, False)
+                emit(*inside)
+                branch += top
             else:
-                stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = stop.end() if stop else (at if tag == "head" else len(page))
-            continue
-        if tag in ("html", "body"):
-            emit()
-            stack[:] = ["body"] if tag == "body" else []
-            continue
-        if tag in VOID:
-            if tag in ("br", "hr"):
-                pieces.append("\n" if tag == "br" else "")
-                if tag == "hr":
-                    emit()
-            continue
-        while stack and tag in CLOSES.get(stack[-1], ()):
-            close(len(stack) - 1)
-        if tag in BLOCKS or tag in ASIDE or tag in ("div", "ul", "ol", "table", "tr", "section", "article", "main"):
-            emit()
-            if not [t for t in stack if t not in ("html", "body")]:
-                branch += 1
-        stack.append(tag)
-    if at < len(page):
-        pieces.append(page[at:])
-    emit()
+                if child.tag in CODE and not code:
+                    emit(tag, aside, code)
+                    walk(child, tag, aside, True, False)
+                    emit(tag, aside, True)
+                else:
+                    walk(child, tag, aside, code, False)
+
+    body = next(e for e in parse(page).children if isinstance(e, Element) and e.tag == "body")
+    walk(body, "", False, False, True)
+    emit("", False, False)
     return out
