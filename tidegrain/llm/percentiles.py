@@ -23,7 +23,7 @@ from tidegrain.runtime import Staged, join_small, stage
 PERCENTS = (50, 90, 95, 99)
 METRICS = ("latency_ms", "packet_bytes")
 #: Distinct values left in a range from which it is sorted instead of split.
-SORT_VALUES = 512
+SORT_VALUES = 4096
 _GROUP = ["scope", "operation", "host", "metric"]
 
 
