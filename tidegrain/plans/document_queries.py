@@ -230,7 +230,7 @@ def u01_union_max(spark: SparkSession, root: str) -> DataFrame:
 def u02_distinct_hints(spark: SparkSession, root: str) -> DataFrame:
     """The distinct hints of each document, in order, blanks left out."""
     listed = F.concat(*(F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>")) for c in ("entity_hints_json", "category_hints_json", "locality_hints_json")))
-    return _documents(spark, root).select("doc_id", F.to_json(F.array_distinct(F.filter(F.transform(listed, F.trim), lambda x: x != ""))).alias("hints"))
+    return _documents(spark, root).select("doc_id", F.to_json(F.array_distinct(F.filter(F.transform(listed, lambda x: F.trim(x)), lambda x: x != ""))).alias("hints"))
 
 
 def u03_fetched_only(spark: SparkSession, root: str) -> DataFrame:
