@@ -86,8 +86,9 @@ def _bitmaps(words: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
 
 
 def _part_keys(levels: np.ndarray, threshold: float):  # noqa: ANN202
-    """Rows (key, class_id, size, level, own, b0, b1): the words of each part,
-    at the level of the set's own size and at the next one."""
+    """Rows (key, class_id, sized, b0, b1): the words of each part, at the level
+    of the set's own size and at the next one.  ``sized`` is twice the size,
+    and one more at its own level."""
     parts = _differing(levels, threshold) + 2
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,8 +108,7 @@ def _part_keys(levels: np.ndarray, threshold: float):  # noqa: ANN202
                     number = np.arange(len(content)) - first[set_of]
                     key = _mix(content ^ _mix((level[set_of] * 100_003 + number).astype(np.uint64), 17), 19)
                     yield pd.DataFrame({
-                        "key": key.view(np.int64), "class_id": rows["class_id"].to_numpy()[set_of], "size": size[set_of],
-                        "level": level[set_of].astype(np.int32), "own": np.full(len(key), up == 0), "b0": b0[set_of], "b1": b1[set_of],
+                        "key": key.view(np.int64), "class_id": rows["class_id"].to_numpy()[set_of], "sized": (size.astype(np.int64) * 2 + (1 - up))[set_of], "b0": b0[set_of], "b1": b1[set_of],
                     })
 
     return run
@@ -116,7 +116,7 @@ def _part_keys(levels: np.ndarray, threshold: float):  # noqa: ANN202
 
 def _similar_enough(threshold: float) -> Column:
     """What two sets a, b of sizes and bitmaps fulfil if they are similar."""
-    a, b = F.col("size_a"), F.col("size_b")
+    a, b = (F.shiftright(f"sized_{x}", 1) for x in "ab")
     fits = (a >= b * threshold - 1e-9) & (b >= a * threshold - 1e-9)
     bits = F.bit_count(F.col("b0_a").bitwiseXOR(F.col("b0_b"))) + F.bit_count(F.col("b1_a").bitwiseXOR(F.col("b1_b")))
     return fits & (bits <= (a + b) * ((1 - threshold) / (1 + threshold)) + 1e-9)
@@ -131,17 +131,17 @@ def _meet(left: DataFrame, right: DataFrame, threshold: float, also: Column) ->
 
 def _small_pairs(sets: DataFrame, largest: int, threshold: float, few: int) -> DataFrame:
     """Candidate pairs of sets by equal parts."""
-    made = sets.mapInPandas(_part_keys(size_levels(largest, threshold), threshold), "key long, class_id long, size int, level int, own boolean, b0 long, b1 long")
+    made = sets.mapInPandas(_part_keys(size_levels(largest, threshold), threshold), "key long, class_id long, sized long, b0 long, b1 long")
     counted = made.withColumn("n", F.count("*").over(Window.partitionBy("key")))
-    columns = ["key", "class_id", "size", "own", "b0", "b1"]
-    order = (F.col("class_id_a") < F.col("class_id_b")) & (F.col("own_a") | F.col("own_b"))
+    columns = ["key", "class_id", "sized", "b0", "b1"]
+    order = (F.col("class_id_a") < F.col("class_id_b")) & (F.col("sized_a").bitwiseOR(F.col("sized_b")) % 2 == 1)
     light = counted.where(F.col("n").between(2, few)).select(*columns)
     pairs = _meet(light, light, threshold, order)
     many = stage(counted.where(F.col("n") > few).drop("n"))
     if many.isEmpty():
         return pairs
     # the parts of one set at one level, as many as D + 2 at most
-    held = many.groupBy("class_id", "size", "level", "own", "b0", "b1").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    held = many.groupBy(*columns[1:]).agg(F.sort_array(F.collect_set("key")).alias("keys"))
     firsts = held.select("*", F.posexplode("keys").alias("i", "k1"))
     both = firsts.select(*columns[1:], "k1", F.explode(F.slice("keys", F.col("i") + 2, F.size("keys"))).alias("k2"))
     double = both.select(F.xxhash64("k1", "k2").alias("key"), *columns[1:])
@@ -225,8 +225,8 @@ def similar_classes(sets: DataFrame, threshold: float = 0.8, broadcast_words: in
         reach = int(np.floor(threshold * (at + 1)))
         long = sets.where(F.col("size") >= reach)
         bits = long.mapInPandas(_with_bitmaps, "class_id long, b0 long, b1 long")
-        lists = prefixes.where(F.col("size") >= reach).join(bits, "class_id").select(F.explode("prefix").alias("key"), "class_id", "size", "b0", "b1")
-        pairs = pairs.unionAll(_meet(lists, lists.where(F.col("size") > at), threshold, F.col("class_id_a") != F.col("class_id_b")))
+        lists = prefixes.where(F.col("size") >= reach).join(bits, "class_id").select(F.explode("prefix").alias("key"), "class_id", (F.col("size") * 2).cast("long").alias("sized"), "b0", "b1")
+        pairs = pairs.unionAll(_meet(lists, lists.where(F.col("sized") > 2 * at), threshold, F.col("class_id_a") != F.col("class_id_b")))
     pairs = stage(pairs.distinct())
     members = stage(pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct())
     used = join_small(sets, members, ["class_id"], "left_semi", limit=BROADCAST_WORDS)
