@@ -56,11 +56,15 @@ def value_report(runs: DataFrame) -> DataFrame:
 
 
 def upserted(runs: DataFrame, order: list[str]) -> DataFrame:
-    """One row per run_id: the last by ``order``, with the first started_at."""
-    first = Window.partitionBy("run_id").orderBy(*order)
-    last = Window.partitionBy("run_id").orderBy(*(F.desc(c) for c in order))
-    marked = runs.withColumn("started_at", F.first("started_at").over(first)).withColumn("_rn", F.row_number().over(last))
-    return marked.where("_rn = 1").drop("_rn")
+    """One row per run_id: the last by ``order``, with the first started_at.
+
+    By aggregation, so a run_id that comes very often is folded before it is
+    shuffled; ties are broken by the other columns.
+    """
+    rest = [c for c in runs.columns if c not in ("run_id", "started_at", *order)]
+    first, last = F.min(F.struct(*order, "started_at")), F.max(F.struct(*order, *rest))
+    folded = runs.groupBy("run_id").agg(first.alias("_first"), last.alias("_last"))
+    return folded.select(*(f"_first.{c}" if c == "started_at" else f"_last.{c}" if c != "run_id" else c for c in runs.columns))
 
 
 def outcomes(runs: DataFrame) -> DataFrame:
@@ -95,17 +99,41 @@ def provider_health(events: DataFrame, as_of: Column) -> DataFrame:
     return known.select("*", cooling.alias("cooling"), (health - F.when(cooling, 20).otherwise(0) + F.when(F.col("last_outcome") == "success", 2).otherwise(0)).alias("health"))
 
 
+def _slot(at: str) -> Column:
+    """The hour of a time: no group of one key and slot holds more than an hour."""
+    return F.date_trunc("hour", F.col(at).cast("timestamp"))
+
+
 def paced(fetches: DataFrame, key: str, at: str, order: str, gap_ms: int) -> DataFrame:
     """When each fetch of a host may start if ``gap_ms`` have to lie between.
 
     The recurrence start = max(asked, start before + gap) has a closed form: the
-    running maximum of asked - n * gap, plus n * gap.
+    running maximum of asked - n * gap, plus n * gap.  It is taken in two steps,
+    within the hours of a host and over its hours, so that a host with a large
+    part of all fetches is spread over many tasks.  Fetches without a time have
+    no start.
     """
-    by = Window.partitionBy(key).orderBy(at, order)
-    n = F.row_number().over(by)
-    ms = F.unix_micros(F.col(at).cast("timestamp")) / 1000
-    upto = by.rowsBetween(Window.unboundedPreceding, 0)
-    numbered = fetches.withColumn("_n", n * gap_ms).withColumn("_asked", ms.cast("bigint"))
-    return numbered.withColumn("start_ms", F.max(F.col("_asked") - F.col("_n")).over(upto) + F.col("_n")).withColumn("waited_ms", F.col("start_ms") - F.col("_asked")).drop("_n", "_asked")
-
-
+    slots = fetches.withColumn("_slot", _slot(at)).withColumn("_asked", F.floor(F.unix_micros(F.col(at).cast("timestamp")) / 1000).cast("bigint"))
+    within = Window.partitionBy(key, "_slot").orderBy(at, order)
+    local = slots.withColumn("_n", F.row_number().over(within) * gap_ms)
+    local = local.withColumn("_top", F.max(F.col("_asked") - F.col("_n")).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    hours = local.groupBy(key, "_slot").agg((F.count("*") * gap_ms).alias("_size"), F.max(F.col("_asked") - F.col("_n")).alias("_most"))
+    over = Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)  # one row per host and hour
+    hours = hours.withColumn("_before", F.coalesce(F.sum("_size").over(over), F.lit(0))).withColumn("_reached", F.max(F.col("_most") - F.col("_before")).over(over)).drop("_size", "_most")
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"h.{c}")) for c in (key, "_slot")]
+    joined = local.alias("l").join(hours.alias("h"), same[0] & same[1]).select("l.*", "h._before", "h._reached")
+    start = F.greatest(F.col("_top") - F.col("_before"), F.col("_reached")) + F.col("_n") + F.col("_before")
+    return joined.withColumn("start_ms", start).withColumn("waited_ms", F.col("start_ms") - F.col("_asked")).drop("_slot", "_asked", "_n", "_top", "_before", "_reached")
+
+
+def as_of(rows: DataFrame, key: str, at: str, order: str, marked: Column) -> DataFrame:
+    """With ``last_at``: the time of the last marked row of the key up to each
+    row, of equal times marked rows first.  No pairs are made; hours of a key
+    and a key's hours are scanned in two steps, as in ``paced``."""
+    slots = rows.withColumn("_slot", _slot(at)).withColumn("_hit", F.when(marked, F.col(at)))
+    within = Window.partitionBy(key, "_slot").orderBy(at, F.col("_hit").isNull(), order).rowsBetween(Window.unboundedPreceding, 0)
+    local = slots.withColumn("_here", F.last("_hit", ignorenulls=True).over(within))
+    over = Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    hours = slots.groupBy(key, "_slot").agg(F.max("_hit").alias("_hit")).withColumn("_past", F.max("_hit").over(over)).drop("_hit")
+    joined = local.join(hours, [key, "_slot"])
+    return joined.withColumn("last_at", F.coalesce("_here", "_past")).drop("_slot", "_hit", "_here", "_past")

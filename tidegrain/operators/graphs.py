@@ -10,10 +10,19 @@ from tidegrain.runtime import Staged, join_small, stage
 
 def transitions(visits: DataFrame, key: str, order: list[str], place: str) -> DataFrame:
     """(from_place, to_place, count, last_seen): from each visit of a key to its next
-    one at another place; visits without a key or place are left out."""
-    kept = visits.where(F.col(key).isNotNull() & (F.trim(place) != ""))
-    after = F.lead(place).over(Window.partitionBy(key).orderBy(*order))
-    steps = kept.select(F.col(place).alias("from_place"), after.alias("to_place"), F.col(order[0]).alias("at"))
+    one at another place; visits without a key or place are left out.
+
+    The next visit is looked for in the same hour first and then in the key's
+    next hour with visits, so a key with a large part of all visits is spread
+    over its hours.  ``order`` begins with the time.
+    """
+    kept = visits.where(F.col(key).isNotNull() & (F.trim(place) != "")).withColumn("_slot", F.date_trunc("hour", F.col(order[0]).cast("timestamp")))
+    after = F.lead(F.struct(place)).over(Window.partitionBy(key, "_slot").orderBy(*order))
+    local = kept.select(key, "_slot", F.col(place).alias("from_place"), F.col(order[0]).alias("at"), after.alias("next"))
+    firsts = kept.groupBy(key, "_slot").agg(F.min(F.struct(*order, place))[place].alias("first"))
+    hours = firsts.select(F.col(key).alias("_key"), F.col("_slot").alias("_hour"), F.lead("first").over(Window.partitionBy(key).orderBy("_slot")).alias("later"))  # one row per key and hour
+    joined = local.join(hours, (F.col(key) == F.col("_key")) & F.col("_slot").eqNullSafe(F.col("_hour")))
+    steps = joined.select("from_place", F.coalesce(F.col(f"next.{place}"), "later").alias("to_place"), "at")
     return steps.where("to_place IS NOT NULL AND from_place != to_place").groupBy("from_place", "to_place").agg(F.count("*").alias("count"), F.max("at").alias("last_seen"))
 
 

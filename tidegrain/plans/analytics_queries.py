@@ -164,14 +164,10 @@ def x_window_moving(spark: SparkSession, root: str) -> DataFrame:
 
 
 def x_as_of_runs(spark: SparkSession, root: str) -> DataFrame:
-    """Extension, as-of join: the last crawl of a host before each of its reads.
-
-    Both sides go through one window by host: no join, so no pair is made.
-    """
+    """Extension, as-of join: the last crawl of a host before each of its reads."""
     runs = _runs(spark, root).where("trim(host) != ''").select(F.lower("host").alias("host"), "completed_at", "run_id", "operation").distinct()
-    by = Window.partitionBy("host").orderBy("completed_at", F.expr("operation != 'crawl'"), "run_id").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("operation") == "crawl", F.col("completed_at")), ignorenulls=True).over(by)
-    return runs.withColumn("crawled_at", last).where("operation = 'read'").select("host", "run_id", "completed_at", "crawled_at")
+    found = analytics.as_of(runs, "host", "completed_at", "run_id", F.col("operation") == "crawl")
+    return found.where("operation = 'read'").select("host", "run_id", "completed_at", F.col("last_at").alias("crawled_at"))
 
 
 QUERIES = {
