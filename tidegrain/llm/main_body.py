@@ -34,6 +34,8 @@ TREE_PAGES = 100
 LEAN = 20.0
 #: Share of content in the importance of a branch; the rest is its layout.
 CONTENT_SHARE = 0.8
+#: Characters of texts whose keys are kept while a partition is read, and how many.
+_SHORT, _KNOWN = 100, 100_000
 _BRANCH = re.compile(r"^/html(?:\[\d+\])?(?:/body(?:\[\d+\])?)?/([^/]+)")
 _CRUMB = re.compile(r"\s+[›»>/→·|]\s+")
 _LETTERS = re.compile(r"[^\W\d_]")
@@ -50,6 +52,18 @@ def content_key(text: str, site: frozenset[str]) -> str:
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known: dict[tuple[str, str], str] = {}  # keys of short texts, which recur
+
+    def key_of(host: str, text: str) -> str:
+        if len(text) > _SHORT:
+            return content_key(text, site_words(host))
+        found = known.get((host, text))
+        if found is None:
+            if len(known) >= _KNOWN:
+                known.clear()
+            found = known[(host, text)] = content_key(text, site_words(host))
+        return found
+
     for batch in batches:
         out = []
         for page_no, url, pos, path, tag, level, text in zip(batch["page_no"], batch["url"], batch["pos"], batch["path"], batch["tag"], batch["heading_level"], batch["text"], strict=True):
@@ -58,7 +72,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             branch = m.group(1) if m else (path or "")
             fixed = tag in ("pre", "code", "td", "th")
             text = text or ""
-            out.append((page_no, host, xxhash.xxh64_intdigest((url or "").strip()) - 2**63 if url else page_no, pos, branch, tag or "", level == 1 or tag == "h1", fixed, content_key(text, site_words(host)), len(text.split())))
+            out.append((page_no, host, xxhash.xxh64_intdigest((url or "").strip()) - 2**63 if url else page_no, pos, branch, tag or "", level == 1 or tag == "h1", fixed, key_of(host, text), len(text.split())))
         yield pd.DataFrame(out, columns=["page_no", "host", "address", "pos", "branch", "tag", "heading", "fixed", "key", "words"])
 
 
