@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrain.runtime import join_small, stage
+from tidegrain.runtime import BROADCAST_ROWS, join_small, stage
 
 #: Sets that may share a part before it is taken in pairs with other parts.
 FEW = 256
@@ -132,14 +132,15 @@ def _meet(left: DataFrame, right: DataFrame, threshold: float, also: Column) ->
 def _small_pairs(sets: DataFrame, largest: int, threshold: float, few: int) -> DataFrame:
     """Candidate pairs of sets by equal parts."""
     made = sets.mapInPandas(_part_keys(size_levels(largest, threshold), threshold), "key long, class_id long, sized long, b0 long, b1 long")
-    counted = made.withColumn("n", F.count("*").over(Window.partitionBy("key")))
     columns = ["key", "class_id", "sized", "b0", "b1"]
     order = (F.col("class_id_a") < F.col("class_id_b")) & (F.col("sized_a").bitwiseOR(F.col("sized_b")) % 2 == 1)
-    light = counted.where(F.col("n").between(2, few)).select(*columns)
-    pairs = _meet(light, light, threshold, order)
-    many = stage(counted.where(F.col("n") > few).drop("n"))
-    if many.isEmpty():
+    heavy = stage(made.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > few).select("key"))
+    n = heavy.count()
+    light = made.join(F.broadcast(heavy), "key", "left_anti") if n <= BROADCAST_ROWS else made.join(heavy, "key", "left_anti")
+    pairs = _meet(light, light, threshold, order)  # FEW rows a key at most
+    if not n:
         return pairs
+    many = join_small(made, heavy, ["key"], "left_semi", n)
     # the parts of one set at one level, as many as D + 2 at most
     held = many.groupBy(*columns[1:]).agg(F.sort_array(F.collect_set("key")).alias("keys"))
     firsts = held.select("*", F.posexplode("keys").alias("i", "k1"))
