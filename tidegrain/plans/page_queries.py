@@ -74,7 +74,7 @@ def s09_line_blocks(spark: SparkSession, root: str) -> DataFrame:
     return pages.line_blocks(table(spark, root, "documents"))
 
 
-def _chunks(spark: SparkSession, root: str) -> DataFrame:
+def ranked_chunk_rows(spark: SparkSession, root: str) -> DataFrame:
     """Chunks as a ranked table: the group is the document, one node each."""
     once = table(spark, root, "chunks").groupBy("chunk_no").agg(F.max(F.struct("doc_id", "text", "heading_path", "context_alignment")).alias("c")).select("chunk_no", "c.*")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_no")) - 1
@@ -85,13 +85,13 @@ def _chunks(spark: SparkSession, root: str) -> DataFrame:
 
 
 def pack03_chunk_scores(spark: SparkSession, root: str) -> DataFrame:
-    rows = ranking.scored(_chunks(spark, root), "doc_id")
+    rows = ranking.scored(ranked_chunk_rows(spark, root), "doc_id")
     return rows.select("chunk_no", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"))
 
 
 def pack05_weights(spark: SparkSession, root: str) -> DataFrame:
     """What each chunk looks like: menu, anchor, fragment, index, code."""
-    rows = ranking.scored(_chunks(spark, root), "doc_id")
+    rows = ranking.scored(ranked_chunk_rows(spark, root), "doc_id")
     text, depth, paths = F.col("text"), F.col("depth"), F.col("n_paths")
     r = lambda c, name: F.round(c, 6).alias(name)
     return rows.select(
@@ -101,17 +101,17 @@ def pack05_weights(spark: SparkSession, root: str) -> DataFrame:
 
 
 def pack06_ranked_chunks(spark: SparkSession, root: str) -> DataFrame:
-    rows = ranking.ranked(_chunks(spark, root), "doc_id")
+    rows = ranking.ranked(ranked_chunk_rows(spark, root), "doc_id")
     return rows.select("chunk_no", "doc_id", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"), "rank")
 
 
 def pack11_selected_chunks(spark: SparkSession, root: str) -> DataFrame:
-    rows = ranking.selected(ranking.ranked(_chunks(spark, root), "doc_id"), "tiny")
+    rows = ranking.selected(ranking.ranked(ranked_chunk_rows(spark, root), "doc_id"), "tiny")
     return rows.select("doc_id", "chunk_no", "rank")
 
 
 def pack13_deduplicated_chunks(spark: SparkSession, root: str) -> DataFrame:
-    rows = ranking.ranked(_chunks(spark, root), "doc_id").withColumn("stable", F.lit(False))
+    rows = ranking.ranked(ranked_chunk_rows(spark, root), "doc_id").withColumn("stable", F.lit(False))
     return ranking.deduplicated(rows.select("doc_id", "chunk_no", "text", "rank", "stable"), "doc_id").select("doc_id", "chunk_no")
 
 
@@ -126,13 +126,13 @@ def pack16_stability(spark: SparkSession, root: str) -> DataFrame:
 
 
 def pack17_outlines(spark: SparkSession, root: str) -> DataFrame:
-    rows = _chunks(spark, root).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "heading_path"))).alias("c"))
+    rows = ranked_chunk_rows(spark, root).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "heading_path"))).alias("c"))
     labels = ranking.outline(F.transform("c", lambda x: F.coalesce(x["heading_path"], F.array().cast("array<string>"))))
     return rows.select("doc_id", F.array_join(labels, " | ").alias("outline"))
 
 
 def pack23_ambiguity(spark: SparkSession, root: str) -> DataFrame:
-    rows = ranking.scored(_chunks(spark, root), "doc_id").withColumn("ambiguity", ranking.ambiguity())
+    rows = ranking.scored(ranked_chunk_rows(spark, root), "doc_id").withColumn("ambiguity", ranking.ambiguity())
     return rows.select("chunk_no", F.round("ambiguity", 6).alias("ambiguity"), ranking.lane(F.col("ambiguity"), "standard").alias("lane"), ranking.lane(F.col("ambiguity"), "tiny").alias("tiny_lane"), F.array_join(ranking.risk_flags(F.col("ambiguity")), ",").alias("flags"))
 
 
@@ -142,17 +142,17 @@ def pack24_page_classes(spark: SparkSession, root: str) -> DataFrame:
 
 
 def pack28_utility(spark: SparkSession, root: str) -> DataFrame:
-    return _chunks(spark, root).select("chunk_no", F.round(ranking.utility(F.col("text"), F.size("heading_path")), 6).alias("utility"))
+    return ranked_chunk_rows(spark, root).select("chunk_no", F.round(ranking.utility(F.col("text"), F.size("heading_path")), 6).alias("utility"))
 
 
 def pack31_uncertainty(spark: SparkSession, root: str) -> DataFrame:
-    rows = ranking.scored(_chunks(spark, root), "doc_id").groupBy("doc_id").agg(F.max("confidence").alias("confidence"), F.avg((F.octet_length("text") < 48).cast("double")).alias("short"))
+    rows = ranking.scored(ranked_chunk_rows(spark, root), "doc_id").groupBy("doc_id").agg(F.max("confidence").alias("confidence"), F.avg((F.octet_length("text") < 48).cast("double")).alias("short"))
     reasons = ranking.uncertainty(F.col("confidence"), F.lit(0.1), F.col("short"), F.lit(0))
     return rows.select("doc_id", F.array_join(reasons, ",").alias("reasons"), ranking.level(reasons).alias("level"))
 
 
 def v01_proofs(spark: SparkSession, root: str) -> DataFrame:
-    rows = _chunks(spark, root)
+    rows = ranked_chunk_rows(spark, root)
     made = packets.proof(content_id("chk", F.col("chunk_no")), F.col("node_paths"), F.col("text"))
     return rows.select("chunk_no", made.alias("p")).select("chunk_no", "p.proof_id", "p.source", "p.start", F.col("p.end").alias("stop"))
 
