@@ -8,12 +8,12 @@ expressions and windows over one group, which all share one partitioning.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrain.functions import text as T
 from tidegrain.functions.values import clamp, findings, given
+from tidegrain.runtime import columns_of, map_groups
 
 #: Weight of each kind of segment; others 0.63 (fixed values).
 KIND_WEIGHTS = {"paragraph": 0.80, "list_item": 0.74, "table_cell": 0.70, "code": 0.68}
@@ -186,12 +186,12 @@ def deduplicated(rows: DataFrame, group: str) -> DataFrame:
     Greedy, so by group in Python; a group is the selection of one page.  A new
     row takes the place of a stable one it repeats (column ``stable``).
     """
-    columns = rows.columns
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
+    def run(page: list[dict]) -> list[dict]:
         kept: list[dict] = []
         norms: list[str] = []
-        for row in page.sort_values("rank").to_dict("records"):
+        page.sort(key=lambda r: r["rank"])
+        for row in page:
             norm = " ".join((row["text"] or "").lower().split())
             if not norm:
                 continue
@@ -201,9 +201,9 @@ def deduplicated(rows: DataFrame, group: str) -> DataFrame:
                 norms.append(norm)
             elif kept[at]["stable"] and not row["stable"]:
                 kept[at], norms[at] = row, norm
-        return pd.DataFrame(kept or page.sort_values("rank").head(1).to_dict("records"), columns=columns)
+        return kept or page[:1]
 
-    return rows.groupBy(group).applyInPandas(run, rows.schema)
+    return map_groups(rows, group, run, columns_of(rows))
 
 
 def policy_selected(candidates: DataFrame, group: str, limit: int = 6) -> DataFrame:
@@ -211,10 +211,9 @@ def policy_selected(candidates: DataFrame, group: str, limit: int = 6) -> DataFr
     the best embedded row (pages with payload), the best heading-backed row
     (heading_ratio .15 or more) and a weak row to a stronger one (short_ratio
     .80 or more).  Needs the page's signals as columns."""
-    columns = candidates.columns
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        rows = page.sort_values("rank").to_dict("records")
+    def run(page: list[dict]) -> list[dict]:
+        rows = sorted(page, key=lambda r: r["rank"])
         chosen, rest = rows[:limit], rows[limit:]
 
         def swap(has: str) -> None:
@@ -234,9 +233,9 @@ def policy_selected(candidates: DataFrame, group: str, limit: int = 6) -> DataFr
             strong = next((r for r in rest if r["heading_backed"] or r["embedded"] or r["kind_match"] or len((r["text"] or "").strip().encode()) >= 80), None)
             if weak is not None and strong is not None:
                 chosen[weak] = strong
-        return pd.DataFrame(chosen, columns=columns)
+        return chosen
 
-    return candidates.groupBy(group).applyInPandas(run, candidates.schema)
+    return map_groups(candidates, group, run, columns_of(candidates))
 
 
 def utility(text: Column, depth: Column) -> Column:

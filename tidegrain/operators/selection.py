@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrain.functions.values import findings
+from tidegrain.runtime import columns_of, map_groups
 
 
 def stable_gate(ranked: DataFrame, group: str, limit: int) -> DataFrame:
@@ -29,20 +29,18 @@ def partly_reused(ranked: DataFrame, group: str, limit: int) -> DataFrame:
     Needs ``rank``, ``stable`` and ``stable_order``; gives ``place``.  One page's
     rows at a time.
     """
-    columns = [*ranked.columns, "place"]
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        rows = page.sort_values("rank").to_dict("records")
+    def run(page: list[dict]) -> list[dict]:
+        rows = sorted(page, key=lambda r: r["rank"])
         chosen = rows[:limit]
         known = [r for r in chosen if r["stable"]]
         if chosen and 3 * len(known) >= 2 * len(chosen):
             first = sorted(known, key=lambda r: (r["stable_order"], r["rank"]))[: len(chosen) // 2]
             taken = {r["rank"] for r in first}
             chosen = (first + [r for r in rows if r["rank"] not in taken])[: len(chosen)]
-        return pd.DataFrame([r | {"place": i + 1} for i, r in enumerate(chosen)], columns=columns)
+        return [r | {"place": i + 1} for i, r in enumerate(chosen)]
 
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in ranked.schema.fields)}, place int"
-    return ranked.groupBy(group).applyInPandas(run, schema)
+    return map_groups(ranked, group, run, f"{columns_of(ranked)}, place int")
 
 
 def _contained(a: str, b: str) -> float:
@@ -65,11 +63,10 @@ def compacted(chunks: DataFrame, group: str, limit: int = 5) -> DataFrame:
     page's rows at a time.  Needs ``rank``, ``text``, ``heading_path``,
     ``utility``.
     """
-    columns = chunks.columns
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
+    def run(page: list[dict]) -> list[dict]:
         kept: list[dict] = []
-        for row in page.sort_values("rank").to_dict("records"):
+        for row in sorted(page, key=lambda r: r["rank"]):
             text = " ".join((row["text"] or "").split())
             path = list(row["heading_path"]) if row["heading_path"] is not None else []
             again = any(text == t or _contained(text, t) >= 0.82 or (path == p and _common_start(text, t) >= 0.74) for t, p in ((k["_t"], k["_p"]) for k in kept))
@@ -78,9 +75,9 @@ def compacted(chunks: DataFrame, group: str, limit: int = 5) -> DataFrame:
                 kept.append(row | {"_t": text, "_p": path})
             if len(kept) == limit:
                 break
-        return pd.DataFrame([{c: k[c] for c in columns} for k in kept], columns=columns)
+        return kept
 
-    return chunks.groupBy(group).applyInPandas(run, chunks.schema)
+    return map_groups(chunks, group, run, columns_of(chunks))
 
 
 def patched(selections: DataFrame, patches: DataFrame, least: float = 0.78) -> DataFrame:

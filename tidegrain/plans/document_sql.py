@@ -125,6 +125,9 @@ SELECT url, max(score) AS score, arg_max(title, (score, title)) FILTER (trim(tit
     "k08_retained_documents": "SELECT doc_id, url FROM documents ORDER BY observed_at DESC, url, doc_id LIMIT 300",
     "o05_latest_per_host": "WITH d AS (SELECT url, max((observed_at, lower(host), path)) AS m, arg_max(lower(host), (observed_at, lower(host), path)) AS host, arg_max(path, (observed_at, lower(host), path)) AS path, max(observed_at) AS observed_at FROM documents GROUP BY url) SELECT host, url, row_number() OVER (PARTITION BY host ORDER BY observed_at DESC, len(path), url)::INTEGER AS rank FROM d WHERE host IS NOT NULL QUALIFY rank <= 3",
     "u01_union_max": "SELECT url, max(seen_at) AS seen_at, count(*) AS n FROM (SELECT url, observed_at AS seen_at FROM documents UNION ALL SELECT url, fetched_at FROM raw_pages) WHERE url IS NOT NULL GROUP BY url",
+    "u02_distinct_hints": f"""
+WITH h AS (SELECT doc_id, list_filter(list_transform(list_concat(coalesce(from_json(entity_hints_json, '["VARCHAR"]'), []), coalesce(from_json(category_hints_json, '["VARCHAR"]'), []), coalesce(from_json(locality_hints_json, '["VARCHAR"]'), [])), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)
+SELECT doc_id, to_json({_first_distinct('l')})::VARCHAR AS hints FROM h""",
     "u03_fetched_only": "SELECT url, 'both' AS found FROM (SELECT url FROM documents INTERSECT SELECT url FROM raw_pages) UNION ALL SELECT url, 'document_only' FROM (SELECT url FROM documents EXCEPT SELECT url FROM raw_pages)",
     "j10_fetched_documents": "SELECT doc_id FROM documents WHERE url IN (SELECT url FROM raw_pages)",
     "j11_unfetched_documents": "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM raw_pages p WHERE p.url = d.url)",

@@ -96,8 +96,8 @@ def j03_prefix_support(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _topic_documents(spark: SparkSession, root: str) -> DataFrame:
-    rows = retrieval.fit_vectors(table(spark, root, "topic_docs"))
-    return rows.select(urls.host(F.col("url")).alias("host"), "path", "url", "title", "summary", "observed_at", "vector").dropDuplicates(["url"])
+    rows = keyed.newest(retrieval.fit_vectors(table(spark, root, "topic_docs")), ["url"], ["observed_at", "vec_id"])
+    return rows.select(urls.host(F.col("url")).alias("host"), "path", "url", "title", "summary", "observed_at", "vector", "vec_id")
 
 
 def d18_topics(spark: SparkSession, root: str) -> DataFrame:
@@ -244,7 +244,7 @@ _TOPHITS = f"{_NEAR.format('topic_docs', 'topic_nodes').replace('near AS', 'near
 _HOSTOF = "lower(nullif(regexp_extract(url, '(?i)^\\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:\\s]+)', 1), ''))"
 _PARTS = "list_filter(string_split({0}, '/'), lambda x: x <> '')"
 _TOPICS = f"""
-WITH t AS (SELECT {_HOSTOF} AS host, path, url, title, summary, observed_at, vector FROM topic_docs WHERE {_FIT} QUALIFY row_number() OVER (PARTITION BY url) = 1),
+WITH t AS (SELECT {_HOSTOF} AS host, path, url, title, summary, observed_at, vector FROM topic_docs WHERE {_FIT} QUALIFY row_number() OVER (PARTITION BY url ORDER BY observed_at DESC NULLS LAST, vec_id DESC) = 1),
 x AS (SELECT *, {_PARTS.format('path')} AS parts FROM t), y AS (SELECT *, unnest(range(2, len(parts) + 1)) AS i FROM x),
 z AS (SELECT *, '/' || array_to_string(list_slice(parts, 1, i), '/') AS root_path FROM y),
 r AS (SELECT *, row_number() OVER (PARTITION BY host, root_path ORDER BY len(path), observed_at DESC, url) AS rn FROM z)

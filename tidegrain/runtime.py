@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,3 +90,26 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
     salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     keyed = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
     return keyed.join(salted, [*on, "_salt"], how).drop("_salt")
+
+
+def map_groups(rows: DataFrame, group: str, change: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
+    """Rows of ``change`` for the rows of each group; for groups of bounded
+    size, such as the segments of one page.
+
+    Groups are gathered by an aggregation, which keeps a partitioning by the
+    group that is there already, and go to Python many at a time.
+    """
+    names = [field.name for field in rows.sparkSession.createDataFrame([], schema).schema.fields]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [r for own in batch["rows"] for r in change([x if isinstance(x, dict) else x.asDict() for x in own])]
+            yield pd.DataFrame([[r[n] for n in names] for r in out], columns=names, dtype=object)
+
+    packed = rows.groupBy(group).agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))
+    return packed.select("rows").mapInPandas(run, schema)
+
+
+def columns_of(rows: DataFrame) -> str:
+    """The columns of a table as a schema string."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
