@@ -99,9 +99,11 @@ def a21_grouping_sets(spark: SparkSession, root: str) -> DataFrame:
 def a22_against_baseline(spark: SparkSession, root: str) -> DataFrame:
     """Averages per surface and their reduction against the whole."""
     runs = _runs(spark, root).where("packet_bytes > 0 AND latency_ms >= 0")
-    each = runs.groupBy("surface").agg(F.count("*").alias("runs"), F.avg("packet_bytes").alias("bytes"), F.avg("latency_ms").alias("latency"))
-    whole = runs.agg(F.avg("packet_bytes").alias("all_bytes"))
-    return each.crossJoin(F.broadcast(whole)).select("surface", "runs", F.round("bytes", 4).alias("bytes"), F.round("latency", 4).alias("latency"), F.round(1 - F.col("bytes") / F.col("all_bytes"), 6).alias("reduction"))
+    each = runs.groupBy("surface").agg(F.count("*").alias("runs"), F.sum("packet_bytes").alias("total"), F.avg("latency_ms").alias("latency"))
+    every = Window.partitionBy(F.lit(1))  # one row per surface
+    whole = F.sum("total").over(every) / F.sum("runs").over(every)
+    mean = F.col("total") / F.col("runs")
+    return each.select("surface", "runs", F.round(mean, 4).alias("bytes"), F.round("latency", 4).alias("latency"), F.round(1 - mean / whole, 6).alias("reduction"))
 
 
 def a23_warm_against_cold(spark: SparkSession, root: str) -> DataFrame:
