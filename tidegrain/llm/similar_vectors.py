@@ -133,7 +133,8 @@ def neighbours(vectors: DataFrame, k: int = 5, floor: float = 0.8, trees: int =
     """
     members, unit = classes(usable(vectors, dimensions))
     members, unit = stage(members), stage(unit)
-    hashed = unit.mapInPandas(_hasher(trees, dimensions), "tree int, hash long, class_id long, vector array<double>")
+    narrow = unit.select("class_id", F.col("vector").cast("array<float>").alias("vector"))  # candidates only; scores are of doubles
+    hashed = narrow.mapInPandas(_hasher(trees, dimensions), "tree int, hash long, class_id long, vector array<float>")
     parts = max(trees, int(unit.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     forest = hashed.repartitionByRange(parts, "tree", "hash", "class_id").sortWithinPartitions("tree", "hash", "class_id")
     pairs = forest.mapInPandas(_scanner(k, floor, reach, block), "class_id long, other long")
