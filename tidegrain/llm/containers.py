@@ -197,10 +197,11 @@ def pack(documents: DataFrame, budgets: DataFrame, folder: str = TOKENIZERS, voc
     """
     counted = stage(token_counts(documents, os.path.join(folder, vocabulary)))
     sizes = budgets.where("profile IS NOT NULL AND capacity_tokens > 0").select("profile", F.col("capacity_tokens").cast("int").alias("capacity_tokens")).distinct()
-    total, largest = counted.agg(F.sum("tokens")).first()[0] or 0, sizes.agg(F.max("capacity_tokens"), F.count("*")).first()
-    if not total or not largest[1]:
+    total, wanted = counted.agg(F.sum("tokens")).first()[0] or 0, sorted((r.capacity_tokens, r.profile) for r in sizes.collect())  # a few settings
+    if not total or not wanted:
         return counted.sparkSession.createDataFrame([], "profile string, capacity_tokens int, container_id string, doc_id long, piece_no int, tokens int")
-    ranges = max(1, round(total / (largest[0] * RANGE_CONTAINERS))) * largest[1]
-    spread = counted.crossJoin(F.broadcast(sizes))  # one row per capacity, a fixed few
+    ranges = max(1, round(total / (wanted[-1][0] * RANGE_CONTAINERS))) * len(wanted)
+    each = F.explode(F.array(*(F.struct(F.lit(p).alias("profile"), F.lit(c).alias("capacity_tokens")) for c, p in wanted)))
+    spread = counted.select("*", each.alias("s")).select("doc_id", "tokens", "curve", "s.*")
     ordered = spread.repartitionByRange(ranges, "capacity_tokens", "profile", "curve", "doc_id").sortWithinPartitions("capacity_tokens", "profile", "curve", "doc_id")
     return ordered.mapInPandas(_pack, "profile string, capacity_tokens int, container_id string, doc_id long, piece_no int, tokens int")
