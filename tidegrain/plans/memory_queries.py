@@ -283,6 +283,9 @@ SELECT url, target, rank, 0.9::DOUBLE AS score FROM r WHERE rank <= 3""",
 w AS (SELECT r.host, r.root_path, CASE WHEN rn = 1 THEN 1.75 ELSE 1 END + CASE WHEN len(parts) = depth THEN 0.25 ELSE 0 END AS w, vector FROM r JOIN d USING (host, root_path)),
 u AS (SELECT host, root_path, w::DOUBLE AS w, unnest(vector)::DOUBLE AS x, unnest(range(64))::INTEGER AS i FROM w)
 SELECT lower(trim(host)) || '|' || root_path AS topic_key, i, round(sum(x * w) / sum(w), 4) AS x FROM u GROUP BY host, root_path, i""",
+    "a09_topic_summaries": _TOPICS + r""", p AS (SELECT host, root_path, list_filter(flatten(list([coalesce(nullif(trim(title), ''), nullif(trim(summary), '')), trim(summary)] ORDER BY rn)), lambda x: coalesce(x, '') <> '') AS l FROM r WHERE rn <= 4 GROUP BY 1, 2),
+j AS (SELECT host, root_path, array_to_string(list_filter(l, lambda v, i: list_position(l, v) = i), ' ') AS s FROM p)
+SELECT host, root_path, coalesce(nullif(trim(substr(trim(regexp_replace(s, '[\s\x{0b}\x{85}\pZ]+', ' ', 'g')), 1, 800)), ''), nullif(trim(root_path), '')) AS summary FROM j""",
     "t05_host_transitions": f"WITH {_STEPS} SELECT from_place, to_place, count, last_seen FROM edges",
     "j13_expanded_hosts": f"""
 WITH {_STEPS}, m AS (SELECT to_place AS place, count::DOUBLE AS score, 'outbound_transition' AS reason FROM edges WHERE from_place IN (SELECT place FROM seeds) UNION ALL SELECT from_place, count * 0.5::DOUBLE, 'inbound_transition' FROM edges WHERE to_place IN (SELECT place FROM seeds))
