@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -105,12 +106,15 @@ _TITLES = [re.compile(p, re.I) for p in TITLES]
 _WORD = re.compile(r"[^\W_]+")
 _ADDRESS = re.compile(r"https?://\S+|\bwww\.\S+|\b[\w.-]+@[\w-]+\.\w+|\b(?:[a-z0-9-]+\.)+(?:example|com|org|net|[a-z]{2})\b", re.I)
 _DATE = re.compile(r"\b\d{1,4}[./-]\d{1,2}[./-]\d{1,4}\b|\b\d{1,2}:\d{2}(?::\d{2})?\b")
+_DOTTED = re.compile(r"\w[.@]\w|//")
+_DIGIT, _NUMBER = re.compile(r"\d"), re.compile(r"\d+")
 _SEPARATOR = re.compile(r"\s+[|–—·»-]\s+|\s+\(|\)$")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 #: What may follow a message in the same block.
 _TAIL = re.compile(r"(?i)(please|try|go|return|back|reload|refresh|retry|check|contact|reference|this takes|use|see|click|bitte|versuchen|zurück|veuillez|réessayez|retour|vuelva|inténtelo|volver|por favor|tente|volte|riprova|torna|ritorna|you (can|may)|if (you|the)|it (may|might)|we (are|will|apologi)|sorry|then)\b.*")
 
 
+@lru_cache(maxsize=20_000)
 def site_words(host: str) -> frozenset[str]:
     """Words of the site's name in its address."""
     return frozenset(w for w in re.split(r"[^a-z]+", (host or "").lower()) if len(w) > 3)
@@ -119,9 +123,13 @@ def site_words(host: str) -> frozenset[str]:
 def mask(text: str, site: frozenset[str]) -> str:
     """Addresses as ``@``, dates and numbers as ``#``, names of the site as
     ``~``, blanks made single; letters keep their case."""
-    text = _ADDRESS.sub("@", " ".join(text.split()))
-    text = re.sub(r"\d+", "#", _DATE.sub("#", text))
-    if site:
+    text = " ".join(text.split())
+    if _DOTTED.search(text):
+        text = _ADDRESS.sub("@", text)
+    if _DIGIT.search(text):
+        text = _NUMBER.sub("#", _DATE.sub("#", text))
+    lower = text.lower()
+    if any(w in lower for w in site):
         text = _WORD.sub(lambda m: "~" if m.group().lower() in site else m.group(), text)
     return text
 
@@ -172,6 +180,7 @@ def title_case(title: str, site: frozenset[str]) -> bool:
     return any(NAMELESS.fullmatch(p) or any(t.fullmatch(p) for t in _TITLES) for p in parts)
 
 
+@lru_cache(maxsize=20_000)
 def _host(url: str | None) -> str:
     m = re.match(r"(?i)\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#:\s]+)", url or "")
     return m.group(1).lower() if m else ""
