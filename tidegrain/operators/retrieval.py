@@ -17,6 +17,8 @@ from tidegrain.runtime import join_small, stage
 
 #: Query vectors that are compared with all rows at once; 8 bytes a component.
 QUERY_BLOCK = 2_048
+#: Rows that a block of queries meets at once in a worker.
+ROW_BLOCK = 2_048
 
 
 def fit_vectors(rows: DataFrame, vector: str = "vector", dimensions: int = DIMENSIONS) -> DataFrame:
@@ -25,37 +27,44 @@ def fit_vectors(rows: DataFrame, vector: str = "vector", dimensions: int = DIMEN
     return rows.where((F.size(vector) == dimensions) & ~odd & F.exists(vector, lambda x: x != 0))
 
 
-def _scan(sent, k: int):  # noqa: ANN001, ANN202
-    """The k most similar rows of this partition for each query vector."""
+def _scan(sent, k: int, weight: float, positive: bool):  # noqa: ANN001, ANN202, FBT001
+    """The k best rows of this partition for each query vector."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, queries = sent.value
-        best_sim = np.full((len(ids), 0), 0.0)
+        best_score, best_sim = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0.0)
         best_id = np.zeros((len(ids), 0), np.int64)
         for batch in batches:
-            if not len(batch):
-                continue
-            rows = np.stack(batch["vector"].to_numpy()).astype(np.float64)
-            rows /= np.linalg.norm(rows, axis=1, keepdims=True)
-            sims = np.concatenate([best_sim, np.round(queries @ rows.T, 9)], axis=1)
-            own = np.concatenate([best_id, np.broadcast_to(batch["vec_id"].to_numpy(), (len(ids), len(rows)))], axis=1)
-            order = np.lexsort((own, -sims), axis=1)[:, :k]
-            best_sim, best_id = np.take_along_axis(sims, order, axis=1), np.take_along_axis(own, order, axis=1)
+            for start in range(0, len(batch), ROW_BLOCK):
+                part = batch.iloc[start : start + ROW_BLOCK]
+                rows = np.stack(part["vector"].to_numpy()).astype(np.float64)
+                rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+                sim = np.round(queries @ rows.T, 9)
+                score = np.round(sim * weight + part["bonus"].to_numpy(), 9)
+                if positive:
+                    score[sim <= 0] = -np.inf
+                scores, sims = np.concatenate([best_score, score], axis=1), np.concatenate([best_sim, sim], axis=1)
+                own = np.concatenate([best_id, np.broadcast_to(part["vec_id"].to_numpy(), (len(ids), len(rows)))], axis=1)
+                order = np.lexsort((own, -scores), axis=1)[:, :k]
+                best_score, best_sim, best_id = (np.take_along_axis(x, order, axis=1) for x in (scores, sims, own))
         if best_sim.size:
-            yield pd.DataFrame({"query_id": np.repeat(ids, best_sim.shape[1]), "vec_id": best_id.ravel(), "similarity": best_sim.ravel()})
+            found = pd.DataFrame({"query_id": np.repeat(ids, best_sim.shape[1]), "vec_id": best_id.ravel(), "similarity": best_sim.ravel(), "score": best_score.ravel()})
+            yield found[np.isfinite(found["score"])]
 
     return run
 
 
-def most_similar(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, vec_id, similarity) of the k most similar rows of each query,
-    by exact cosine; ties, to 9 decimals, to the smaller vec_id.
+def best_scored(queries: DataFrame, rows: DataFrame, k: int, weight: float = 1.0, block: int = QUERY_BLOCK, positive: bool = False) -> DataFrame:  # noqa: FBT001, FBT002
+    """(query_id, vec_id, similarity, score, rank) of the k rows of each query
+    with the highest ``weight`` * exact cosine + the row's own ``bonus``; ties,
+    to 9 decimals, to the smaller vec_id.  ``positive``: only rows with a cosine
+    above 0.
 
     A stated set of query vectors meets all rows in blocks: each block of
     queries is sent to the rows, which are read in place and not shuffled; k
     rows per query and partition are all that moves.
     """
-    fit = fit_vectors(rows).select("vec_id", "vector")
+    fit = fit_vectors(rows).select("vec_id", "vector", F.col("bonus").cast("double").alias("bonus"))
     asked = stage(fit_vectors(queries.withColumnRenamed("query_vector", "vector")).select("query_id", "vector"))
     blocks = max(1, -(-asked.count() // block))
     out = None
@@ -64,16 +73,23 @@ def most_similar(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERY
         vectors = np.stack(part["vector"].to_numpy()).astype(np.float64) if len(part) else np.zeros((0, DIMENSIONS))
         vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         sent = rows.sparkSession.sparkContext.broadcast((part["query_id"].to_numpy(np.int64), vectors))
-        found = fit.mapInPandas(_scan(sent, k), "query_id long, vec_id long, similarity double")
+        found = fit.mapInPandas(_scan(sent, k, weight, positive), "query_id long, vec_id long, similarity double, score double")
         out = found if out is None else out.unionAll(found)
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def document_score(similarity: Column, as_of: Column, hinted: Column | None = None) -> Column:
+def most_similar(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, vec_id, similarity) of the k most similar rows of each query,
+    by exact cosine; ties, to 9 decimals, to the smaller vec_id."""
+    return best_scored(queries, rows.withColumn("bonus", F.lit(0.0)), k, block=block).drop("score")
+
+
+def document_score(similarity: Column, as_of: Column, hinted: Column | None = None, proved: Column | None = None) -> Column:
     """How well a remembered document meets a query."""
     score = similarity * 3 + recency(F.col("observed_at"), as_of) + given(F.col("stable_ratio") > 0, 1.0) * F.coalesce(F.nanvl("stable_ratio", F.lit(0.0)), F.lit(0.0)) * 0.08
     score = score + F.coalesce(F.nanvl("novelty_ratio", F.lit(0.0)), F.lit(0.0)) * 0.08 + given(F.coalesce("changed_recently", F.lit(False)), 0.06)
+    score = score if proved is None else score + given(proved, 0.08)
     return score if hinted is None else score + given(hinted, 0.2)
 
 
@@ -127,18 +143,20 @@ def topic_summaries(documents: DataFrame, size: int = 800) -> DataFrame:
     return said.select("host", "root_path", first_filled(F.trim(F.substring(one_line(joined), 1, size)), F.col("root_path")).alias("summary"))
 
 
-def ancestor_roots(hits: DataFrame, documents: DataFrame, as_of: Column, limit: int) -> DataFrame:
+def ancestor_roots(hits: DataFrame, documents: DataFrame, as_of: Column, limit: int, inclusive: bool = False, proved: Column | None = None) -> DataFrame:  # noqa: FBT001, FBT002
     """Remembered pages above the hits with two documents or more below them.
 
-    ``hits``: query_id, host, path.  Scored by support, recency and ratios.
+    ``hits``: query_id, host, path.  Scored by support, recency and ratios, and
+    by proof if ``proved`` is given.  ``inclusive``: also the hits themselves.
     """
     above = hits.withColumn("path_depth", urls.depth(F.col("path")))
-    above = above.select("query_id", "host", F.explode(urls.ancestors(F.col("path"))).alias("root_path"), "path_depth").where(urls.depth(F.col("root_path")) < F.col("path_depth"))
+    above = above.select("query_id", "host", F.explode(urls.ancestors(F.col("path"))).alias("root_path"), "path_depth").where(F.lit(inclusive) | (urls.depth(F.col("root_path")) < F.col("path_depth")))
     wanted = above.select("query_id", "host", "root_path").distinct()
     support = with_ancestors(documents).groupBy("host", "root_path").agg(F.count_distinct("url").alias("support")).where("support >= 2")
     roots = wanted.join(support, ["host", "root_path"]).join(documents.withColumnRenamed("path", "root_path"), ["host", "root_path"])
     ratio = lambda c: F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)) * 0.05
     score = F.lit(1.4) + F.least((F.col("support") - 1) * 0.32, F.lit(0.9)) + recency(F.col("observed_at"), as_of) + ratio("stable_ratio") + ratio("novelty_ratio")
+    score = score if proved is None else score + given(proved, 0.06)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "url")
     return roots.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "url", "support", "score", "rank")
 
@@ -159,5 +177,11 @@ def host_pages(documents: DataFrame, limit: int) -> DataFrame:
     return documents.where("host IS NOT NULL").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def host_score(as_of: Column, proved: Column) -> Column:
+    """How well a remembered document meets a query that its host meets."""
+    ratio = lambda c: F.greatest(F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)), F.lit(0.0)) * 0.05
+    return F.lit(0.78) + recency(F.col("observed_at"), as_of) + ratio("stable_ratio") + ratio("novelty_ratio") + given(proved, 0.06)
+
+
 def embedding_ref(url: Column, text: Column, model: str) -> Column:
     return piped_id("emb", url, F.lit(model), F.sha2(F.coalesce(text, F.lit("")), 256))

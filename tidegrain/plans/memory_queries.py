@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegrain.functions import urls
 from tidegrain.functions.values import findings
 from tidegrain.operators import analytics, graphs, keyed, retrieval
 from tidegrain.operators.pages import page_links
+from tidegrain.runtime import stage
 from tidegrain.sources.tables import table
 from tidegrain.streaming import folds
 
@@ -29,9 +30,13 @@ def _asked(rows: DataFrame) -> DataFrame:
     return rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"))
 
 
+def _proved():  # noqa: ANN202
+    return F.coalesce(F.size(F.from_json("proof_refs_json", "array<string>")) > 0, F.lit(False))
+
+
 def _remembered(spark: SparkSession, root: str) -> DataFrame:
     """The newest row of each address, host in lower case."""
-    rows = table(spark, root, "documents").select("url", F.lower("host").alias("host"), "path", "observed_at", "stable_ratio", "novelty_ratio", "changed_recently", "doc_id")
+    rows = table(spark, root, "documents").select("url", F.lower("host").alias("host"), "path", "observed_at", "stable_ratio", "novelty_ratio", "changed_recently", _proved().alias("proved"), "doc_id")
     return keyed.newest(rows, ["url"], ["observed_at", "doc_id"]).drop("doc_id")
 
 
@@ -42,11 +47,12 @@ def j05_similar_vectors(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _document_hits(spark: SparkSession, root: str, k: int) -> DataFrame:
+    """The k remembered documents of each query that score best."""
     stored = table(spark, root, "topic_docs")
-    near = retrieval.most_similar(_asked(stored), stored, k).where("similarity > 0")
-    known = _remembered(spark, root)
-    hits = near.join(stored.select("vec_id", "url").distinct(), "vec_id").join(known, "url")
-    return hits.withColumn("score", F.round(retrieval.document_score(F.col("similarity"), _now()), 6))
+    bonus = retrieval.document_score(F.lit(0.0), _now(), proved=F.col("proved"))
+    known = stage(stored.select("vec_id", "url", "vector").distinct().join(_remembered(spark, root), "url").select("vec_id", "url", "vector", bonus.alias("bonus")))
+    hits = retrieval.best_scored(_asked(stored), known, k, 3.0, positive=True).drop("score").join(known.drop("vector"), "vec_id")
+    return hits.withColumn("score", F.round(F.col("similarity") * 3 + F.col("bonus"), 6))
 
 
 def d16_document_hits(spark: SparkSession, root: str) -> DataFrame:
@@ -54,9 +60,10 @@ def d16_document_hits(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _topic_hits(spark: SparkSession, root: str, k: int) -> DataFrame:
+    """The k topic nodes of each query that score best."""
     nodes = table(spark, root, "topic_nodes")
-    near = retrieval.most_similar(_asked(table(spark, root, "topic_docs")), nodes, k).where("similarity > 0")
-    hits = near.join(nodes.drop("vector"), "vec_id")
+    known = nodes.withColumn("bonus", retrieval.topic_score(F.lit(0.0), _now()))
+    hits = retrieval.best_scored(_asked(table(spark, root, "topic_docs")), known, k, 3.15, positive=True).drop("score").join(nodes.drop("vector"), "vec_id")
     return hits.withColumn("score", F.round(retrieval.topic_score(F.col("similarity"), _now()), 6))
 
 
@@ -64,12 +71,28 @@ def d16_topic_hits(spark: SparkSession, root: str) -> DataFrame:
     return _topic_hits(spark, root, 5).select("query_id", "topic_key", F.col("representative_url").alias("url"), "score")
 
 
+def _first(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query, each address once."""
+    best = found.groupBy("query_id", "url").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "url"))).where(F.col("rank") <= k).drop("rank")
+
+
 def d15_memory_search(spark: SparkSession, root: str) -> DataFrame:
-    """Documents and topics that meet a query, merged by address: the best
-    five of a score of .15 or more."""
-    both = d16_document_hits(spark, root).unionByName(d16_topic_hits(spark, root).select("query_id", "url", "score"))
-    best = both.groupBy("query_id", "url").agg(F.max("score").alias("score")).where("score >= 0.15")
-    return keyed.newest(best.withColumn("order", F.col("score")), ["query_id"], ["order", "url"], 5).select("query_id", "url", "score")
+    """Documents and topics that meet a query, the roots above them, the pages
+    they link to and the latest pages of their hosts (three of each kind),
+    merged by address: the best five of a score of .15 or more."""
+    known = stage(_remembered(spark, root))
+    add = lambda have, more: stage(have.unionByName(more.select("query_id", "url", "score")).groupBy("query_id", "url").agg(F.max("score").alias("score")))
+    found = add(d16_document_hits(spark, root), d16_topic_hits(spark, root))
+    placed = found.select("query_id", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"))
+    found = add(found, retrieval.ancestor_roots(placed, known, _now(), 3, inclusive=True, proved=F.col("proved")))
+    edges = _page_edges(spark, root).join(known.select(F.col("url").alias("target")), "target", "left_semi")
+    linked = retrieval.neighbours(found.select("query_id", "url"), edges, 3).select("query_id", F.col("target").alias("url"), "score")
+    found = add(found, _first(linked, 3))
+    hosts = found.select("query_id", urls.host(F.col("url")).alias("host")).distinct()
+    latest = retrieval.host_pages(known, 3).withColumn("score", retrieval.host_score(_now(), F.col("proved")))
+    found = add(found, _first(hosts.join(latest, "host"), 3))
+    return _first(found.select("query_id", "url", F.round("score", 6).alias("score")).where("score >= 0.15"), 5)
 
 
 def j04_ancestor_roots(spark: SparkSession, root: str) -> DataFrame:
@@ -78,13 +101,16 @@ def j04_ancestor_roots(spark: SparkSession, root: str) -> DataFrame:
     return found.select("query_id", "url", "support", F.round("score", 6).alias("score"), "rank")
 
 
-def j02_neighbours(spark: SparkSession, root: str) -> DataFrame:
+def _page_edges(spark: SparkSession, root: str) -> DataFrame:
     pages = table(spark, root, "raw_pages")
     times = pages.groupBy("page_no").agg(F.max("fetched_at").alias("observed_at"))
     edges = page_links(pages).join(times, "page_no").select("url", "target", (urls.host(F.col("url")) == urls.host(F.col("target"))).alias("same_host"), "observed_at")
-    edges = edges.groupBy("url", "target").agg(F.max("same_host").alias("same_host"), F.max("observed_at").alias("observed_at"))
-    hits = pages.select(F.col("url").alias("query_id"), "url").distinct()
-    return retrieval.neighbours(hits, edges, 3).select("url", "target", "rank", F.round("score", 6).alias("score"))
+    return edges.groupBy("url", "target").agg(F.max("same_host").alias("same_host"), F.max("observed_at").alias("observed_at"))
+
+
+def j02_neighbours(spark: SparkSession, root: str) -> DataFrame:
+    hits = table(spark, root, "raw_pages").select(F.col("url").alias("query_id"), "url").distinct()
+    return retrieval.neighbours(hits, _page_edges(spark, root), 3).select("url", "target", "rank", F.round("score", 6).alias("score"))
 
 
 def j03_prefix_support(spark: SparkSession, root: str) -> DataFrame:
