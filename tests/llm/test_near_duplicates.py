@@ -9,6 +9,7 @@ from itertools import combinations
 import pytest
 
 from tidegrain.llm import near_duplicates as N
+from tidegrain.llm import queries as Q
 
 FIELDS = "entity string, id long, text string, class_id string, size string, words string"
 
@@ -64,3 +65,20 @@ def test_many_copies(spark):  # noqa: ANN001
 
 def test_empty(spark):  # noqa: ANN001
     assert N.similar_records(frame(spark, [])).collect() == []
+
+
+def test_query_has_all_pairs_of_large_classes(spark, tmp_path):  # noqa: ANN001
+    """Texts in another order of sentences, more than EXPAND_MEMBERS of them,
+    beside a similar class as large."""
+    same = [f"s{i}" for i in range(30)]
+    rng = random.Random(3)
+    rows = []
+    for i in range(2 * (N.EXPAND_MEMBERS + 3)):
+        words = [*same[1:], "other"] if i % 2 else list(same)
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+    spark.createDataFrame(rows, "chunk_no long, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([], "doc_id long, semantic_summary string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = [tuple(r) for r in Q.p3_found(spark, str(tmp_path)).collect()]
+    assert sorted(found) == sorted(brute([("chunk", *r) for r in rows]))
+    assert len(found) == len(rows) * (len(rows) - 1) // 2

@@ -34,8 +34,9 @@ FEW = 256
 #: Shared-word counts of at most this many words are sent to all executors (12
 #: bytes a word); beyond it they are joined by a shuffle.
 BROADCAST_WORDS = 2_000_000
-#: Classes of equal word sets are expanded into all pairs up to this many
-#: members; in larger ones each member is paired with the least member.
+#: Unless all pairs are asked for: classes of equal word sets are expanded into
+#: all pairs up to this many members; in larger ones each member is paired with
+#: the least member.
 EXPAND_MEMBERS = 64
 #: Words looked at together in a worker.
 _SLICE = 400_000
@@ -251,31 +252,44 @@ def word_sets(records: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]
     return rows.select("entity", "id", "class_id").distinct(), sets
 
 
-def similar_records(records: DataFrame, threshold: float = 0.8, min_words: int = 20, broadcast_words: int = BROADCAST_WORDS, few: int = FEW, boundary: int | None = None) -> DataFrame:
+def _all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """All pairs of different ids within each class and between similar ones."""
+    links = pairs.unionByName(members.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("class_id").alias("a"), F.col("class_id").alias("b")))
+    a = members.select("entity", F.col("class_id").alias("a"), F.col("id").alias("id_a"))
+    b = members.select(F.col("class_id").alias("b"), F.col("id").alias("id_b"))
+    linked = join_small(join_small(links, a, ["a"]), b, ["b"]).where("a != b OR id_a < id_b")
+    linked = linked.select("entity", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    return linked.where("id_a != id_b").distinct()
+
+
+def similar_records(records: DataFrame, threshold: float = 0.8, min_words: int = 20, broadcast_words: int = BROADCAST_WORDS, few: int = FEW, boundary: int | None = None, expand: int | None = EXPAND_MEMBERS) -> DataFrame:
     """Distinct (entity, id_a, id_b), id_a < id_b, of similar records.
 
     ``records``: entity string, id long, text string; other columns are
     ignored.  Null texts and texts of fewer than ``min_words`` distinct words
     are no records; rows given twice count once; of records given with several
     texts each text counts.  An empty table gives no rows.  Pairs are between
-    records of the same entity.  Records of equal word sets are a class: up to
-    EXPAND_MEMBERS members every pair comes out, in larger classes each member
-    with the least one; the same holds for the members of two similar classes.
+    records of the same entity.  With ``expand`` None every pair comes out.
+    Otherwise, records of equal word sets being a class, up to ``expand``
+    members every pair comes out, in larger classes each member with the least
+    one; the same holds for the members of two similar classes.
     """
     members, sets = word_sets(records, min_words)
     members = stage(members)
     pairs = stage(similar_classes(sets, threshold, broadcast_words, few, boundary))
+    if expand is None:
+        return _all_pairs(members, pairs)
     sizes = members.groupBy("class_id").agg(F.count("*").alias("n"), F.min("id").alias("least"))
     known = stage(members.join(sizes, "class_id"))
     side = lambda x: known.select("entity", F.col("class_id").alias(x), F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), F.col("least").alias(f"least_{x}"))
     a, b = side("a"), side("b").drop("entity")
-    shown = lambda x: F.expr(f"n_{x} <= {EXPAND_MEMBERS} OR id_{x} = least_{x}")
+    shown = lambda x: F.expr(f"n_{x} <= {expand} OR id_{x} = least_{x}")
     linked = pairs.join(a.where(shown("a")), "a").join(b.where(shown("b")), "b").select("entity", "id_a", "id_b")
     for x, y, s, t in (("a", "b", a, b), ("b", "a", b, a)):  # a large class's other members, each with the least one of the other class
         rest = pairs.join(s.where(~shown(x)), x).join(t.where(f"id_{y} = least_{y}"), y)
         linked = linked.unionByName(rest.select("entity", "id_a", "id_b"))
     linked = linked.select("entity", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
-    own = known.where(f"n > 1 AND n <= {EXPAND_MEMBERS}").groupBy("entity", "class_id").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    own = known.where(f"n > 1 AND n <= {expand}").groupBy("entity", "class_id").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     own = own.select("entity", F.posexplode("ids").alias("i", "id_a"), "ids").select("entity", "id_a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("id_b"))
-    star = known.where(f"n > {EXPAND_MEMBERS} AND id != least").select("entity", F.col("least").alias("id_a"), F.col("id").alias("id_b"))
+    star = known.where(f"n > {expand} AND id != least").select("entity", F.col("least").alias("id_a"), F.col("id").alias("id_b"))
     return linked.unionByName(own).unionByName(star).where("id_a != id_b").distinct()

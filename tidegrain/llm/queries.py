@@ -20,7 +20,7 @@ def p2_rounded(spark: SparkSession, root: str) -> DataFrame:
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     chunks = table(spark, root, "chunks").select(F.lit("chunk").alias("entity"), F.col("chunk_no").alias("id"), "text")
     summaries = table(spark, root, "documents").select(F.lit("summary").alias("entity"), F.col("doc_id").alias("id"), F.col("semantic_summary").alias("text"))
-    return near_duplicates.similar_records(chunks.unionByName(summaries))
+    return near_duplicates.similar_records(chunks.unionByName(summaries), expand=None)
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
