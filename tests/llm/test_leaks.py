@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 
 from tidegrain.llm import leaks as K
 
@@ -59,3 +61,19 @@ def test_parts():
 def test_empty(spark):  # noqa: ANN001
     assert K.leaked_items(*frames(spark, [], [])).collect() == []
     assert K.leaked_items(*frames(spark, [(1, "x " * 30)], [])).collect() == []
+
+
+def test_verbatim_words_before_edited_ones():
+    """13 to 20 words as they are, then text on the same diagonal with more
+    edits than the whole stretch may have."""
+    rng = random.Random(4)
+    item = [rng.choice(["of", "in", "to", "we", "be"]) if i % 4 == 0 else rng.choice(["river", "quarry", "meadow", "lantern"]) + rng.choice("abcdef") for i in range(60)]
+    documents = []
+    for d in range(150):
+        n = rng.randrange(13, 21)
+        documents.append((d, " ".join(item[:n] + [rng.choice(["xq", "zj"]) if len(w) == 2 and rng.random() < 0.5 else w for w in item[n:]])))
+    sent = SimpleNamespace(value=K.Items([(1, " ".join(item))], K.Q, K.EDITS, K.WORDS))
+    batch = pd.DataFrame(documents, columns=["doc_id", "text"])
+    for exact in (True, False):
+        found = pd.concat(K._search(sent, exact)(iter([batch])))
+        assert set(found["doc_id"]) == {d for d, _ in documents}

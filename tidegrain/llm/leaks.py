@@ -118,9 +118,10 @@ class Items:
         self.seen[(self.distinct >> np.uint64(64 - self.bits)).astype(np.int64)] = True
         self.short = [i for i in range(len(self.ids)) if self.bound[i] < 1]
 
-    def regions(self, codes: np.ndarray, doc_of: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
-        """(doc, item, first, last, item first, item last) of regions that meet
-        the bound; places are those of the first and last gram."""
+    def regions(self, codes: np.ndarray, doc_of: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(doc, item, windows) of regions of chained windows that meet the
+        bound; the rows of ``windows`` are (first, last, item first, item last),
+        places of the first and last gram."""
         hashes = gram_hashes(codes, self.q)
         if not len(hashes) or not len(self.distinct):
             return
@@ -151,8 +152,8 @@ class Items:
         joins = (item[start[1:]] == item[start[:-1]]) & (doc[start[1:]] == doc[start[:-1]]) & (band[start[1:]] == band[start[:-1]]) & (start[1:] <= end[:-1])
         cuts = np.flatnonzero(np.concatenate([[True], ~joins]))
         for i, j in zip(cuts, np.append(cuts[1:], len(start)) - 1, strict=True):
-            s, e = start[i], end[j]
-            yield int(doc[s]), int(item[s]), int(where[s]), int(where[e]), int(place[s]), int(place[e])
+            s, e = start[i : j + 1], end[i : j + 1]
+            yield int(doc[s[0]]), int(item[s[0]]), np.stack([where[s], where[e], place[s], place[e]], axis=1)
 
 
 def _share_words(text: str, item: list[str], n: int) -> bool:
@@ -160,6 +161,33 @@ def _share_words(text: str, item: list[str], n: int) -> bool:
     return any(f" {' '.join(item[i : i + n])} " in text for i in range(len(item) - n + 1))
 
 
+def _region_edits(items: Items, item: int, codes: np.ndarray, first: int, last: int, place: int, place_end: int) -> tuple[int, int, int] | None:
+    """(start, length, edits) of a region within its budget of edits."""
+    a, b = codes[first : last + items.q], items.codes[item][place : place_end + items.q]
+    budget = items.edits * -(-len(b) // max(1, int(items.least[item])))
+    edits = 0 if len(a) == len(b) and (a == b).all() else banded_edits(a, b, budget)
+    return (first, len(a), edits) if edits <= budget else None
+
+
+def _passages(items: Items, item: int, codes: np.ndarray, windows: np.ndarray) -> list[tuple[int, int, int]]:
+    """A region as a whole or, if it has too many edits, chains of its
+    windows, from the left, as long as they have not."""
+    check = lambda w, v: _region_edits(items, item, codes, int(w[0]), int(v[1]), int(w[2]), int(v[3]))
+    whole = check(windows[0], windows[-1])
+    if whole:
+        return [whole]
+    out, i = [], 0
+    while i < len(windows):
+        held, last, step = check(windows[i], windows[i]), i, 1
+        while held and step:  # doubled while the longer chain holds, then halved
+            longer = check(windows[i], windows[last + step]) if last + step < len(windows) else None
+            held, last, step = (longer, last + step, step * 2) if longer else (held, last, step // 2)
+        if held:
+            out.append(held)
+        i = last + 1
+    return out
+
+
 def _search(sent, exact: bool):  # noqa: ANN001, ANN202
     """Documents to rows (doc_id, item_id, start, length, edits)."""
 
@@ -172,12 +200,10 @@ def _search(sent, exact: bool):  # noqa: ANN001, ANN202
         codes, doc_of = np.concatenate(codes), np.concatenate(doc_of)
         start_of = np.cumsum([0] + [len(t) + 1 for t in texts])
         best: dict[tuple[int, int], list[tuple]] = {}
-        for doc, item, first, last, place, place_end in items.regions(codes, doc_of):
-            a, b = codes[first : last + items.q], items.codes[item][place : place_end + items.q]
-            budget = items.edits * -(-len(b) // max(1, int(items.least[item])))
-            edits = 0 if len(a) == len(b) and (a == b).all() else banded_edits(a, b, budget)
-            if edits <= budget:
-                best.setdefault((doc, item), []).append((first - int(start_of[doc]), len(a), edits))
+        for doc, item, windows in items.regions(codes, doc_of):
+            kept = best.setdefault((doc, item), [])
+            if not exact:  # for exact words no budget of edits counts
+                kept.extend((first - int(start_of[doc]), length, edits) for first, length, edits in _passages(items, item, codes, windows))
         for doc, text in enumerate(texts):
             for item in items.short:
                 if _share_words(text, items.words[item], items.n_words):
@@ -233,7 +259,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, q: int = Q, edits: int
     ignored.  Null ids and texts, and items of fewer words, have no cases;
     empty tables give no rows.  Items are sent in blocks of bounded size, each
     compared with whole texts of all documents.  Candidates come from the gram
-    filter and banded alignment; an exact comparison of words follows.
+    filter; an exact comparison of words follows, whatever else of the region
+    was edited.
     """
     return _leaks(documents, items, True, q, edits, n_words, limit).select("doc_id", "item_id").distinct()
 
