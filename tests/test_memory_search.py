@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from tidegrain.plans import memory_queries as M
+from tidegrain.plans import planning_queries as P
 from tidegrain.sources.tables import table
 
 ROOT = "/root/testdata/sf0.01"
@@ -97,3 +98,12 @@ def test_search_follows_roots_links_and_hosts(spark, tmp_path):  # noqa: ANN001
     spark.createDataFrame([(1, f"{site}/x/hit", page)], "page_no long, url string, html string").selectExpr("*", f"{at} AS fetched_at").write.parquet(f"{tmp_path}/raw_pages.parquet")
     found = {r.url: r.score for r in M.d15_memory_search(spark, str(tmp_path)).collect()}
     assert found == {f"{site}/x/hit": 3.0, f"{site}/x": 1.72, f"{site}/other": 0.78, "https://b.example/linked": 0.7}
+
+
+def test_often_seen_address_beyond_the_nearest(spark, tmp_path):  # noqa: ANN001
+    """25 pages seen once are a little nearer than one that is seen five times."""
+    near = [(i, f"https://a.example/mill{i}", "river quarry lantern meadow") for i in range(25)]
+    often = [(100 + i, "https://a.example/often/seen", "river quarry lantern meadow") for i in range(5)]
+    spark.createDataFrame(near + often, "doc_id long, url string, title string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "river quarry lantern meadow a example")], "item_id long, goal string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    assert max(P.d14_local_candidates(spark, str(tmp_path)).collect(), key=lambda r: r.score).url == "https://a.example/often/seen"

@@ -119,8 +119,9 @@ def d14_local_candidates(spark: SparkSession, root: str) -> DataFrame:
     words = F.lower(F.concat_ws(" ", "title", urls.token_text(F.col("url"))))
     stored = known.select("url", "seen", F.xxhash64("url").alias("vec_id"), embed(words).alias("vector"))
     asked = _goals(spark, root).select("query_id", embed(F.lower("goal")).alias("query_vector"))
-    near = retrieval.most_similar(asked, stored, 20).join(stored.select("vec_id", "url", "seen"), "vec_id")
-    scored = near.withColumn("score", F.round(F.col("similarity") * 3 + F.least("seen", F.lit(5)) * 0.15, 6)).drop("rank")
+    often = F.least("seen", F.lit(5)) * 0.15
+    near = retrieval.best_scored(asked, stored.withColumn("bonus", often), 5, 3.0).drop("score").join(stored.select("vec_id", "url", "seen"), "vec_id")
+    scored = near.withColumn("score", F.round(F.col("similarity") * 3 + often, 6)).drop("rank")
     return keyed.newest(scored, ["query_id"], ["score", "url"], 5).select("query_id", "url", "score")
 
 
