@@ -10,11 +10,15 @@ from tidegrain.sources.tables import table
 
 
 def p2_percentiles(spark: SparkSession, root: str) -> DataFrame:
-    return percentiles.percentiles(percentiles.combine([percentiles.day_counts(table(spark, root, "analytics_runs"))]))
+    return percentiles.percentiles(percentiles.value_counts(percentiles.unique_runs(table(spark, root, "analytics_runs"))))
+
+
+def p2_by_days(spark: SparkSession, root: str) -> DataFrame:
+    return percentiles.percentiles(percentiles.value_counts(percentiles.combine([percentiles.day_parts(table(spark, root, "analytics_runs"))])))
 
 
 def p2_rounded(spark: SparkSession, root: str) -> DataFrame:
-    return percentiles.percentiles(percentiles.combine([percentiles.day_counts(table(spark, root, "analytics_runs"), bits=8)]))
+    return percentiles.percentiles(percentiles.value_counts(percentiles.unique_runs(table(spark, root, "analytics_runs")), bits=8))
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
@@ -70,7 +74,7 @@ def p10_stretches(spark: SparkSession, root: str) -> DataFrame:
     return languages.stretches(table(spark, root, "documents"), table(spark, root, "lang_samples"))
 
 
-QUERIES = {"p2_percentiles": p2_percentiles, "p2_rounded": p2_rounded, "p8_containers": p8_containers, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_main_texts": p5_main_texts, "p6_found": p6_found, "p6_clean_chunks": p6_clean_chunks, "p7_found": p7_found, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_stretches": p10_stretches}
+QUERIES = {"p2_percentiles": p2_percentiles, "p2_by_days": p2_by_days, "p2_rounded": p2_rounded, "p8_containers": p8_containers, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_main_texts": p5_main_texts, "p6_found": p6_found, "p6_clean_chunks": p6_clean_chunks, "p7_found": p7_found, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_stretches": p10_stretches}
 
 _LINES = r"""
 WITH once AS (SELECT DISTINCT chunk_no, doc_id, text FROM chunks WHERE text IS NOT NULL),
@@ -102,6 +106,7 @@ _ROUND = "(({0} >> greatest(0, (floor(log2(greatest({0}, 1)))::INTEGER - 7))) <<
 
 SQL = {
     "p2_percentiles": _PERCENTILES.format(latency="latency_ms", bytes="packet_bytes"),
+    "p2_by_days": _PERCENTILES.format(latency="latency_ms", bytes="packet_bytes"),
     "p2_rounded": _PERCENTILES.format(latency=_ROUND.format("latency_ms"), bytes=_ROUND.format("packet_bytes")),
     "p6_found": _LINES + "SELECT chunk_no, line_no FROM hits",
     "p6_clean_chunks": _LINES + """,
