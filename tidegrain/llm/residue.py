@@ -1,10 +1,13 @@
 """Placeholders, filler, error messages and demands for scripts in place of text.
 
-Each block of a page and each title is masked (addresses, dates, numbers, and
-the names of the site), so that one message of many sites becomes one key.
-Exact hashes of the keys are grouped across sources.  A key that phrase rules
-name a message outright is one; a key that only resembles a message is one if
-it recurs on many sources.  Placeholders are found by their marks outside code.
+Each block of a page and each part of a title is masked (addresses, dates,
+numbers, placeholders, filler and the names of the site), so that one message of
+many sites becomes one key.  Exact hashes of the keys are grouped across
+sources, and each key is judged once: one that recurs widely is a message if it
+stands mostly where pages have no other text of their own, and phrase rules say
+so or, in any language, it does so nearly always.  Text that recurs on no other
+source is judged by the phrase rules alone.  Placeholders in the article of a
+page are found by their marks outside code.
 """
 
 from __future__ import annotations
@@ -14,31 +17,36 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrain.llm.page_parts import blocks
 from tidegrain.runtime import join_small, stage
 
-#: Sources on which a text that resembles a message has to recur.
-MIN_SOURCES = 3
-#: Words of a message at most, and share of filler words in filler.
-MESSAGE_WORDS, FILLER_SHARE = 30, 0.7
+#: Sources on which a text has to recur to be judged by its recurrence, and to
+#: be a message although no phrase rule knows it.
+MIN_SOURCES, UNNAMED_SOURCES = 3, 5
+#: Share of its pages that have no other text of their own, from which on a
+#: recurring text is a message: one that resembles a message, and any other.
+NAMED_ALONE, UNNAMED_ALONE = 0.5, 0.9
+#: Share of filler words in filler, and of telling words in a recurring title.
+FILLER_SHARE, TELLING_SHARE = 0.7, 0.5
 
 # -- fixed values: marks of placeholders -------------------------------------
 PLACEHOLDERS = re.compile(
-    r"\{\{[^{}\n]{1,80}\}\}"
-    r"|\$\{[^{}\n]{1,80}\}"
-    r"|\{%[^%\n]{1,80}%\}"
-    r"|<%[=@-]?[^%\n]{1,80}%>"
+    r"\{\{[^{}\n]+\}\}"
+    r"|\$\{[^{}\n]+\}"
+    r"|\{%[^%\n]+%\}"
+    r"|<%[=@-]?[^%\n]+%>"
     r"|%%[A-Za-z][\w.-]*%%"
     r"|(?<![\w%])%[A-Z][A-Z0-9_]{2,}%(?![\w%])"
-    r"|\[\[[^\[\]\n]{1,80}\]\]"
+    r"|\[\[[^\[\]\n]+\]\]"
     r"|@@[A-Za-z][\w.-]*@@"
     r"|(?<!\w)__[A-Z][A-Z0-9_]*__(?!\w)"
     r"|(?<!\w)#[A-Z][A-Z0-9_]{2,}#(?!\w)"
     r"|\{[A-Za-z][A-Za-z0-9]*(?:[_.][A-Za-z0-9]+)*\}"
-    r"|\[(?i:insert|enter|add|your|type|placeholder|title|name|date|todo|tbd)\b[^\[\]\n]{0,60}\]"
+    r"|\[(?i:insert|enter|add|your|type|placeholder|title|name|date|todo|tbd)\b[^\[\]\n]*\]"
+    r"|\b(?:TODO|FIXME|TBD):"
     r"|\bXX[./-]XX[./-](?:XX){1,2}\b"
     r"|\((?i:date|name|title|text|price|author) to be (?i:filled in|added|announced|confirmed)\)"
 )
@@ -68,7 +76,7 @@ OUTRIGHT = [
     r"(accès|acceso|acesso|accesso) (est |está |è )?(refusé|interdit|denegado|prohibido|negado|proibido|negato|vietato)[^.:]{0,40}", r"vous n['’]avez pas (la permission|l['’]autorisation|le droit|accès)\b[^.]*",
     r"(usted )?no tiene(s)? (permiso|autorización|acceso)\b[^.]*", r"(você )?não tem (permissão|autorização|acesso)\b[^.]*", r"non (hai|dispone di|disponi|ha) (il permesso|l['’]autorizzazione|permess[oi]|access[oi]|autorizzazion[ei])\b[^.]*",
     # error of the server
-    r"(an? |the )?(internal|unexpected|unknown|fatal|server|critical|application)( server)? (error|exception|failure)\b[^.]{0,80}( on line #| of null| on null)?[^.]*( in view\.tpl on line #)?",
+    r"(an? |the )?(internal|unexpected|unknown|fatal|server|critical|application)( server)? (error|exception|failure)\b[^.]{0,80}[^.]*",
     r"fatal error\b.*", r"error (establishing|connecting|while|during|processing|loading)\b[^.]*", r"(uncaught|unhandled) (exception|error|typeerror)\b.*", r"warning: [a-z_]+\(\).*", r"(parse|syntax) error\b.*",
     r"(the |an? )?(upstream |bad )?gateway\b[^.]*(not answer|time|timed|error|failed|unavailable|invalid)[^.]*", r"(bad gateway|gateway time-?out)",
     r"(the |this |our )?(service|server|site|database|system) (is|was|has|did|are)\b[^.]{0,40}(unavailable|down|overloaded|busy|not (available|respond|answer)|maintenance|offline|unreachable|encountered)[^.]*", r"service (temporarily )?unavailable[^.]*",
@@ -145,8 +153,8 @@ def message_strength(masked: str) -> int:
 
     Every sentence has to be a message or what may follow one.
     """
-    if len(_WORD.findall(masked)) > MESSAGE_WORDS:
-        return 0
+    if masked == "&":
+        return 2
     text = masked.strip(" .!")
     if any(p.fullmatch(text) for p in _TITLES):
         return 2
@@ -166,18 +174,33 @@ def has_placeholder(text: str) -> bool:
     return bool(PLACEHOLDERS.search(text))
 
 
-def title_case(title: str, site: frozenset[str]) -> bool:
-    """A title that holds a placeholder or is filler or a message.
+def residue_key(text: str, site: frozenset[str]) -> str:
+    """What recurs of a text: filler as ``&``, placeholders as ``{}``, the rest
+    masked."""
+    return "&" if is_filler(text) else mask(PLACEHOLDERS.sub("{}", text), site)
 
-    The name of a site before or after a separator doesn't count.
-    """
-    if has_placeholder(title):
-        return True
-    if is_filler(title):
+
+def title_keys(title: str, site: frozenset[str]) -> list[str]:
+    """The keys of a title and of its parts between separators."""
+    whole = residue_key(title, site).strip()
+    return list(dict.fromkeys(p.strip(" .!…").lower() for p in [whole, *_SEPARATOR.split(whole)] if p and p.strip(" .!…")))
+
+
+def title_verdict(key: str, sources: int) -> bool:
+    """Whether a key of titles is residue: it holds a placeholder or is filler
+    or a message; if it recurs, also if most of its words tell of a message."""
+    if "{}" in key or key == "&" or NAMELESS.fullmatch(key) or any(t.fullmatch(key) for t in _TITLES):
         return True
-    whole = mask(title, site).strip()
-    parts = [p.strip(" .!…") for p in [whole, *_SEPARATOR.split(whole)] if p and p.strip()]
-    return any(NAMELESS.fullmatch(p) or any(t.fullmatch(p) for t in _TITLES) for p in parts)
+    if sources < MIN_SOURCES:
+        return False
+    telling = sum(len(_WORD.findall(m.group())) for m in RESEMBLES.finditer(key))
+    return telling >= TELLING_SHARE * max(len(_WORD.findall(key)), 1)
+
+
+def title_case(title: str, site: frozenset[str], sources: int = 1) -> bool:
+    """The verdict on a single title; the name of a site before or after a
+    separator doesn't count."""
+    return any(title_verdict(k, sources) for k in title_keys(title, site))
 
 
 @lru_cache(maxsize=20_000)
@@ -186,39 +209,56 @@ def _host(url: str | None) -> str:
     return m.group(1).lower() if m else ""
 
 
-def page_verdict(page: str, site: frozenset[str]) -> tuple[bool, list[tuple[str, int]]]:
-    """Whether the page is a case by itself, and (key, strength) of what stands
-    where its article should be, if only its recurrence can tell.
+def _sentence_like(text: str) -> bool:
+    end = text.rstrip()
+    return end.rstrip("»… ")[-1:] in ".!?;:" and len(_WORD.findall(text)) >= 3 and not end.endswith(("»", "…")) and not text.startswith("©")
+
 
-    A placeholder in any block outside code and marked branches is a case.  A
-    message or filler is one where its branch of the page holds no other text
-    (blocks that end like a sentence, cells or code) and no other branch holds
-    a page heading and such text, which would be the article.
+def page_rows(page: str, site: frozenset[str]) -> list[tuple[int, str | None, bool, bool, bool, bool]]:
+    """(branch, key, sentence, h1, own, named) of what stands on a page outside
+    branches that are marked as no article.
+
+    ``own``: code and cells, which are a page's own text.  ``named``: one row of
+    each branch whose every sentence is outright a message by phrase rules.  A
+    page with a placeholder outside code has one row only, with branch -1.
     """
-    own = [b for b in blocks(page) if not b.aside]
-    if any(not b.code and has_placeholder(b.text) for b in own):
-        return True, []
-    weak, real, full = {}, set(), set()
-    headed = {b.branch for b in own if b.tag == "h1"}
-    for b in own:
-        if b.code or b.tag in ("td", "th"):
-            real.add(b.branch)
+    blocks_ = [b for b in blocks(page) if not b.aside]
+    if any(not b.code and has_placeholder(b.text) for b in blocks_):
+        return [(-1, None, False, False, False, False)]
+    out, other, said = [], set(), {}
+    for b in blocks_:
+        own = b.code or b.tag in ("td", "th")
+        if own:
+            other.add(b.branch)
+            out.append((b.branch, None, False, False, True, False))
             continue
-        masked = mask(b.text, site)
-        strength = 2 if is_filler(b.text) else message_strength(masked)
-        if b.tag in ("h1", "h2", "h3") or (not b.tag and len(b.text) < 4):
+        key = residue_key(b.text, site)
+        heading = b.tag in ("h1", "h2", "h3")
+        sentence = not heading and (key == "&" or _sentence_like(b.text))
+        if sentence or (not heading and len(b.text) > 3):
+            said.setdefault(b.branch, []).append((key, sentence))
+        out.append((b.branch, key, sentence, b.tag == "h1", False, False))
+    for branch, keys in said.items():
+        if branch in other:
             continue
-        if strength == 2:
-            full.add(b.branch)
-        elif strength == 1:
-            weak.setdefault(b.branch, []).append((masked, 1))
-        elif b.text.rstrip("»… ")[-1:] in ".!?;:" and len(_WORD.findall(b.text)) >= 3 and not b.text.rstrip().endswith(("»", "…")) and not b.text.startswith("©"):
-            real.add(b.branch)
-    if real & headed:
-        return False, []
-    if full - real:
-        return True, []
-    return False, [] if real else [x for keys in weak.values() for x in keys]
+        outright = False
+        for key, sentence in keys:  # ends at the first sentence that is no message
+            strength = message_strength(key)
+            outright = outright or strength == 2
+            if sentence and strength != 2:
+                break
+        else:
+            if outright:
+                out.append((branch, None, False, False, False, True))
+    return out
+
+
+def message_verdict(key: str, sentence: bool, sources: int, alone: float) -> bool:
+    """Whether a recurring key is a message: ``sources`` that show it, and the
+    share of its pages on which it stands alone."""
+    if alone >= NAMED_ALONE and message_strength(key):
+        return True
+    return sentence and sources >= UNNAMED_SOURCES and alone >= UNNAMED_ALONE
 
 
 def _pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,17 +266,31 @@ def _pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for page_no, url, page in zip(batch["page_no"], batch["url"], batch["html"], strict=True):
             host = _host(url)
-            case, keys = page_verdict(page, site_words(host))
-            if case:
-                out.append((page_no, host, None, True))
-            out.extend((page_no, host, key, False) for key, _ in set(keys))
-        yield pd.DataFrame(out, columns=["page_no", "host", "key", "found"])
+            out.extend((page_no, host, *row) for row in page_rows(page, site_words(host)))
+        yield pd.DataFrame(out, columns=["page_no", "host", "branch", "key", "sentence", "h1", "own", "named"])
 
 
-def _titles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _judge_messages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        case = [title_case(t, site_words(h)) for t, h in zip(batch["title"], batch["host"], strict=True)]
-        yield batch.loc[case, ["doc_id"]]
+        case = [message_verdict(*x) for x in zip(batch["key"], batch["sentence"], batch["sources"], batch["alone"], strict=True)]
+        yield batch.loc[case, ["h"]]
+
+
+def _title_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = [(doc_id, host, key) for doc_id, title, host in zip(batch["doc_id"], batch["title"], batch["host"], strict=True) for key in title_keys(title, site_words(host))]
+        yield pd.DataFrame(out, columns=["doc_id", "host", "key"])
+
+
+def _judge_titles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        case = [title_verdict(*x) for x in zip(batch["key"], batch["sources"], strict=True)]
+        yield batch.loc[case, ["h"]]
+
+
+def _branches(when: Column) -> Column:
+    """The branches of a page in which a row fulfils ``when``."""
+    return F.collect_set(F.when(when, F.col("branch")))
 
 
 def residue_pages(pages: DataFrame, min_sources: int = MIN_SOURCES) -> DataFrame:
@@ -246,17 +300,52 @@ def residue_pages(pages: DataFrame, min_sources: int = MIN_SOURCES) -> DataFrame
     are not read.  Null ids and pages without html are no cases; a page
     delivered twice counts once; an empty table gives no rows.
     """
-    seen = stage(pages.where("page_no IS NOT NULL AND html IS NOT NULL").select("page_no", "url", "html").mapInPandas(_pages, "page_no long, host string, key string, found boolean"))
-    weak = seen.where("NOT found").withColumn("h", F.xxhash64(F.lower("key")))
-    recurring = stage(weak.groupBy("h", "host").agg(F.lit(1).alias("_")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_sources).select("h"))
-    return seen.where("found").select("page_no").union(join_small(weak, recurring, ["h"], "left_semi").select("page_no")).distinct()
+    return page_findings(pages, min_sources).select("page_no").distinct()
+
+
+def page_findings(pages: DataFrame, min_sources: int = MIN_SOURCES) -> DataFrame:
+    """Distinct (page_no, by) of residue pages; ``by`` tells what found them:
+    ``recurring`` keys, ``phrases`` alone, or a ``placeholder`` in the article.
+
+    Text of a page's own is code, cells and sentences that recur on fewer than
+    ``min_sources`` hosts and are not outright messages.  A page with such text
+    in the branch of its page heading has an article and is no case but for
+    placeholders.  On other pages a key stands alone if its branch has no text
+    of the page's own.
+    """
+    rows = pages.where("page_no IS NOT NULL AND html IS NOT NULL").select("page_no", "url", "html")
+    rows = rows.mapInPandas(_pages, "page_no long, host string, branch int, key string, sentence boolean, h1 boolean, own boolean, named boolean")
+    rows = stage(rows.withColumn("h", F.when(F.col("key").isNotNull(), F.xxhash64(F.lower("key")))))
+    shown = rows.where("h IS NOT NULL").groupBy("h", "host").agg(F.lit(1).alias("_"))
+    recurring = stage(shown.groupBy("h").agg(F.count("*").alias("sources")).where(F.col("sources") >= min_sources))
+    marked = join_small(rows.where("branch >= 0").drop("key", "host"), recurring, ["h"], "left")
+    again = F.col("sources").isNotNull()
+    one = marked.groupBy("page_no").agg(
+        _branches(F.col("own") | (F.col("sentence") & ~again)).alias("own"), _branches(F.col("h1")).alias("headed"), _branches(F.col("named")).alias("named"),
+        F.collect_set(F.when(again, F.struct("h", "branch"))).alias("keys"),
+    )
+    one = one.withColumn("text", F.array_except("own", "named"))
+    one = stage(one.where(F.size(F.array_intersect("text", "headed")) == 0).unionByName(one.where(F.size(F.array_intersect("text", "headed")) > 0).withColumn("text", F.lit(None).cast("array<int>"))))
+    stands = one.select("page_no", "text", F.explode("keys").alias("k")).select("page_no", "k.h", F.coalesce(~F.array_contains("text", F.col("k.branch")), F.lit(False)).alias("alone"))
+    stands = stands.groupBy("page_no", "h").agg(F.max("alone").alias("alone"))
+    share = stands.groupBy("h").agg(F.avg(F.col("alone").cast("int")).alias("alone")).where(F.col("alone") >= NAMED_ALONE)
+    open_ = stage(share.join(recurring, "h"))
+    texts = join_small(rows.select("h", "key", "sentence"), open_.select("h"), ["h"], "left_semi").groupBy("h").agg(F.min("key").alias("key"), F.max("sentence").alias("sentence"))
+    messages = stage(texts.join(open_, "h").select("h", "key", "sentence", F.col("sources").cast("int").alias("sources"), "alone").mapInPandas(_judge_messages, "h long"))
+    by_key = join_small(stands.where("alone"), messages, ["h"], "left_semi").select("page_no", F.lit("recurring").alias("by"))
+    by_phrase = one.where("text IS NOT NULL").where(F.size(F.array_intersect("named", "own")) > 0).select("page_no", F.lit("phrases").alias("by"))
+    return by_key.union(by_phrase).union(rows.where("branch < 0").select("page_no", F.lit("placeholder").alias("by"))).distinct()
 
 
 def residue_titles(documents: DataFrame) -> DataFrame:
     """Distinct doc_id of documents whose title is residue.
 
-    ``documents``: doc_id, title, host.  Each distinct title is judged; null
-    ids and missing titles are no cases.
+    ``documents``: doc_id, title, host.  Titles are masked and cut at their
+    separators; each distinct key is judged once, with the number of hosts that
+    show it.  Null ids and missing titles are no cases.
     """
-    titled = documents.where("doc_id IS NOT NULL AND trim(title) != ''").select("doc_id", "title", F.coalesce("host", F.lit("")).alias("host"))
-    return titled.mapInPandas(_titles, "doc_id long").distinct()
+    titled = documents.where("doc_id IS NOT NULL AND trim(title) != ''").select("doc_id", "title", F.lower(F.coalesce("host", F.lit(""))).alias("host"))
+    rows = stage(titled.mapInPandas(_title_rows, "doc_id long, host string, key string").withColumn("h", F.xxhash64("key")))
+    keys = rows.groupBy("h", "host").agg(F.min("key").alias("key")).groupBy("h").agg(F.min("key").alias("key"), F.count("*").cast("int").alias("sources"))
+    cases = stage(keys.mapInPandas(_judge_titles, "h long"))
+    return join_small(rows, cases, ["h"], "left_semi").select("doc_id").distinct()
