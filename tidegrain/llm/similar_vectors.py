@@ -28,7 +28,7 @@ from tidegrain.runtime import join_small, stage
 DIMENSIONS = 64
 #: Trees of the forest, bits of a hash string, and the candidates at which the
 #: ascent of a vector ends; on one side of a tree it takes no more than these.
-TREES, BITS, CANDIDATES = 12, 48, 2000
+TREES, BITS, CANDIDATES = 16, 48, 1500
 #: Strings of a sorted array that are read at once.
 BLOCK = 1 << 15
 #: Members from which on a class of equal vectors is spread over tasks.
@@ -39,11 +39,11 @@ SEED = 20_240_229
 
 
 def usable(rows: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(vec_id, vector of doubles) of vectors of ``dimensions`` finite
+    """(vec_id, vector) of vectors of ``dimensions`` finite
     components that are not all zero; null ids are left out."""
     big = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fit = (F.size("vector") == dimensions) & ~big & F.exists("vector", lambda x: x != 0)
-    return rows.where("vec_id IS NOT NULL").where(fit).select("vec_id", F.col("vector").cast("array<double>").alias("vector"))
+    return rows.where("vec_id IS NOT NULL").where(fit).select("vec_id", "vector")
 
 
 def _planes(tree: int, dimensions: int) -> np.ndarray:
@@ -51,18 +51,21 @@ def _planes(tree: int, dimensions: int) -> np.ndarray:
 
 
 def _hasher(trees: int, dimensions: int):  # noqa: ANN202
-    """Rows (class_id, hashes, rounded): the sign bits of the projections of
-    each tree, first bit highest, so that sorting sorts by prefix."""
+    """Rows (class_id, vector, hashes, rounded): unit vectors, and the sign bits
+    of the projections of each tree, first bit highest, so that sorting sorts
+    by prefix."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        planes = np.hstack([_planes(t, dimensions) for t in range(trees)])
+        planes = np.hstack([_planes(t, dimensions) for t in range(trees)]).astype(np.float32)
         weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
         for batch in batches:
             if len(batch):
-                unit = np.stack(batch["vector"].to_numpy())
-                bits = (unit @ planes > 0).reshape(len(unit), trees, BITS)
-                rounded = np.rint(unit / np.abs(unit).max(axis=1, keepdims=True) * 127).astype(np.int8)
-                yield pd.DataFrame({"class_id": batch["class_id"], "hashes": list(bits @ weights), "rounded": [r.tobytes() for r in rounded]})
+                unit = np.stack(batch["vector"].to_numpy()).astype(np.float64)
+                unit /= np.abs(unit).max(axis=1, keepdims=True)
+                rounded = np.rint(unit * 127).astype(np.int8)
+                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+                bits = (unit.astype(np.float32) @ planes > 0).reshape(len(unit), trees, BITS)
+                yield pd.DataFrame({"class_id": batch["class_id"], "vector": list(unit), "hashes": list(bits @ weights), "rounded": [r.tobytes() for r in rounded]})
 
     return run
 
@@ -170,7 +173,9 @@ def _scanner(k: int, floor: float, reach: int, block: int):  # noqa: ANN202
                 down = down[_shared(hashes[down], hashes[down - offset]) >= level[down]]
                 if not len(up) and not len(down):
                     break
-                a = np.union1d(up[up + offset >= old], down - offset)
+                meets = np.zeros(len(ids), bool)
+                meets[up[up + offset >= old]] = meets[down - offset] = True
+                a = np.flatnonzero(meets)
                 sim = np.einsum("ij,ij->i", unit[a], unit[a + offset])
                 near = sim >= floor - SLACK
                 left.append(a[near])
@@ -194,14 +199,9 @@ def _cosines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(vec_id, class_id) and (class_id, unit vector) of equal vectors."""
-    known = vectors.withColumn("class_id", F.xxhash64("vector"))
-    members = known.select("vec_id", "class_id").distinct()
-    longest = F.aggregate(F.any_value("vector"), F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
-    once = known.groupBy("class_id").agg(F.any_value("vector").alias("vector"), longest.alias("top"))
-    scaled = once.select("class_id", F.transform("vector", lambda x: x / F.col("top")).alias("vector"))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    return members, scaled.withColumn("norm", norm).select("class_id", F.transform("vector", lambda x: x / F.col("norm")).alias("vector"))
+    """(vec_id, class_id) and (class_id, vector) of equal vectors."""
+    known = stage(vectors.select("vec_id", F.xxhash64("vector").alias("class_id"), "vector"))
+    return known.select("vec_id", "class_id").distinct(), known.groupBy("class_id").agg(F.any_value("vector").alias("vector"))
 
 
 def neighbours(vectors: DataFrame, k: int = 5, floor: float = 0.8, trees: int = TREES, candidates: int = CANDIDATES, block: int = BLOCK, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -216,10 +216,12 @@ def neighbours(vectors: DataFrame, k: int = 5, floor: float = 0.8, trees: int =
     other member can be among anyone's first k.
     """
     members, unit = classes(usable(vectors, dimensions))
-    members, unit = stage(members), stage(unit)
+    members = stage(members)
     ranks = min(candidates.bit_length(), 10)
-    parts = max(trees, int(unit.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    hashed = stage(unit.mapInPandas(_hasher(trees, dimensions), "class_id long, hashes array<long>, rounded binary"))
+    parts = max(trees, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hashed = stage(unit.mapInPandas(_hasher(trees, dimensions), "class_id long, vector array<double>, hashes array<long>, rounded binary"))
+    unit = hashed.select("class_id", "vector")
+    hashed = hashed.drop("vector")
     arrays = lambda rows, *more: rows.select("class_id", *more, F.posexplode("hashes").alias("tree", "hash")).repartitionByRange(parts, "tree", "hash").sortWithinPartitions("tree", "hash", "class_id")
     depths = arrays(hashed).mapInPandas(_descent(block, ranks), "class_id long, depths long")
     depths = depths.groupBy("class_id").agg(F.collect_list("depths").alias("depths"))  # one a tree
