@@ -132,20 +132,22 @@ def text_nodes(root: Element, profile: str | None = "standard") -> list[tuple[st
     out: list[tuple[str, str, str, str, int, int]] = []
     skip = NOISE_TAGS if profile is not None else frozenset(["script", "style"])
 
-    def walk(element: Element, path: tuple[str, ...]) -> None:
-        counts: dict[str, int] = {}
-        for child in element.children:
-            if isinstance(child, str) or (child.tag in ("script", "style") if profile is None else is_noise(child, profile)):
-                continue
-            counts[child.tag] = counts.get(child.tag, 0) + 1
-            own = (*path, f"{child.tag}[{counts[child.tag]}]")
-            if kind := KINDS.get(child.tag):
-                if text := joined_text(child, skip):
-                    out.append(("/" + "/".join(own), child.tag, kind, text, len(own), int(child.tag[1]) if kind == "heading" else 0))
-            walk(child, own)
-
     body = next(e for e in root.children if isinstance(e, Element) and e.tag == "body")
-    walk(body, ("html[1]", "body[1]"))
+    open_ = [(iter(body.children), ("html[1]", "body[1]"), {})]
+    while open_:  # a stack, as pages may be nested to any depth
+        children, path, counts = open_[-1]
+        child = next(children, None)
+        if child is None:
+            open_.pop()
+            continue
+        if isinstance(child, str) or (child.tag in ("script", "style") if profile is None else is_noise(child, profile)):
+            continue
+        counts[child.tag] = counts.get(child.tag, 0) + 1
+        own = (*path, f"{child.tag}[{counts[child.tag]}]")
+        if kind := KINDS.get(child.tag):
+            if text := joined_text(child, skip):
+                out.append(("/" + "/".join(own), child.tag, kind, text, len(own), int(child.tag[1]) if kind == "heading" else 0))
+        open_.append((iter(child.children), own, {}))
     return out
 
 
