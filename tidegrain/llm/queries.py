@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrain.llm import containers, languages, leaks, main_body, near_duplicates, percentiles, repeated_lines, residue, similar_vectors
+from tidegrain.runtime import stage
 from tidegrain.sources.tables import table
 
 
@@ -41,6 +42,10 @@ def p5_main_texts(spark: SparkSession, root: str) -> DataFrame:
     return main_body.main_texts(table(spark, root, "simplified_nodes"))
 
 
+def p5_page_bodies(spark: SparkSession, root: str) -> DataFrame:
+    return main_body.main_texts(stage(main_body.page_nodes(table(spark, root, "raw_pages"))))
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return repeated_lines.found_lines(table(spark, root, "chunks"), table(spark, root, "documents"))
 
@@ -74,7 +79,7 @@ def p10_stretches(spark: SparkSession, root: str) -> DataFrame:
     return languages.stretches(table(spark, root, "documents"), table(spark, root, "lang_samples"))
 
 
-QUERIES = {"p2_percentiles": p2_percentiles, "p2_by_days": p2_by_days, "p2_rounded": p2_rounded, "p8_containers": p8_containers, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_main_texts": p5_main_texts, "p6_found": p6_found, "p6_clean_chunks": p6_clean_chunks, "p7_found": p7_found, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_stretches": p10_stretches}
+QUERIES = {"p2_percentiles": p2_percentiles, "p2_by_days": p2_by_days, "p2_rounded": p2_rounded, "p8_containers": p8_containers, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_main_texts": p5_main_texts, "p5_page_bodies": p5_page_bodies, "p6_found": p6_found, "p6_clean_chunks": p6_clean_chunks, "p7_found": p7_found, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_stretches": p10_stretches}
 
 _LINES = r"""
 WITH once AS (SELECT DISTINCT chunk_no, doc_id, text FROM chunks WHERE text IS NOT NULL),
