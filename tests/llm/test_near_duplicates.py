@@ -41,7 +41,7 @@ def texts(rng, n):  # noqa: ANN001, ANN201
 @pytest.mark.parametrize("options", [{}, {"few": 2}, {"boundary": 0}, {"boundary": 45}, {"broadcast_words": 0}])
 def test_against_all_pairs(spark, options):  # noqa: ANN001
     """With heavy parts, lists only, both ways at once, and joined word counts."""
-    rows = texts(random.Random(11), 150)
+    rows = texts(random.Random(11), 110)
     found = {tuple(r) for r in N.similar_records(frame(spark, rows), **options).collect()}
     assert found == brute(rows)
     assert len(found) > 30
@@ -55,11 +55,12 @@ def test_odd_rows(spark):  # noqa: ANN001
 
 
 def test_many_copies(spark):  # noqa: ANN001
-    """Large classes come out as a star and keep their links to other texts."""
+    """Large classes come out as a star if that is asked for, and keep their
+    links to other texts."""
     same = [f"s{i}" for i in range(30)]
-    rows = [("chunk", i, " ".join(same)) for i in range(N.EXPAND_MEMBERS + 20)] + [("chunk", 1000, " ".join([*same[1:], "other"]))]
-    found = {tuple(r)[1:] for r in N.similar_records(frame(spark, rows)).collect()}
-    members = range(N.EXPAND_MEMBERS + 20)
+    rows = [("chunk", i, " ".join(same)) for i in range(64 + 20)] + [("chunk", 1000, " ".join([*same[1:], "other"]))]
+    found = {tuple(r)[1:] for r in N.similar_records(frame(spark, rows), expand=64).collect()}
+    members = range(64 + 20)
     assert found == {(0, i) for i in members if i} | {(i, 1000) for i in members}
 
 
@@ -68,12 +69,12 @@ def test_empty(spark):  # noqa: ANN001
 
 
 def test_query_has_all_pairs_of_large_classes(spark, tmp_path):  # noqa: ANN001
-    """Texts in another order of sentences, more than EXPAND_MEMBERS of them,
+    """Texts in another order of sentences, more than 64 of them,
     beside a similar class as large."""
     same = [f"s{i}" for i in range(30)]
     rng = random.Random(3)
     rows = []
-    for i in range(2 * (N.EXPAND_MEMBERS + 3)):
+    for i in range(2 * (64 + 3)):
         words = [*same[1:], "other"] if i % 2 else list(same)
         rng.shuffle(words)
         rows.append((i, " ".join(words)))
@@ -82,3 +83,37 @@ def test_query_has_all_pairs_of_large_classes(spark, tmp_path):  # noqa: ANN001
     found = [tuple(r) for r in Q.p3_found(spark, str(tmp_path)).collect()]
     assert sorted(found) == sorted(brute([("chunk", *r) for r in rows]))
     assert len(found) == len(rows) * (len(rows) - 1) // 2
+
+
+def test_shared_parts_are_split(spark):  # noqa: ANN001
+    """Many sets that share most parts meet in blocks."""
+    rng = random.Random(2)
+    common = [f"c{i}" for i in range(24)]
+    rows = [("chunk", i, " ".join([*common, *(f"x{rng.randrange(40)}" for _ in range(rng.choice([2, 4, 6])))])) for i in range(50)]
+    assert {tuple(r) for r in N.similar_records(frame(spark, rows), few=1).collect()} == brute(rows)
+
+
+def test_groups(spark):  # noqa: ANN001
+    """Against reaching from record to record."""
+    rows = texts(random.Random(7), 120) + [("chunk", 900 + i, " ".join(f"s{j}" for j in range(25))) for i in range(80)]
+    near = {}
+    for e, a, b in brute(rows):
+        near.setdefault((e, a), set()).add(b)
+        near.setdefault((e, b), set()).add(a)
+    expected = set()
+    for e, i in near:
+        seen, todo = {i}, [i]
+        while todo:
+            new = near[(e, todo.pop())] - seen
+            seen |= new
+            todo += new
+        expected.add((e, i, min(seen), len(near[(e, i)])))
+    assert {tuple(r) for r in N.similar_groups(frame(spark, rows)).collect()} == expected
+    assert N.similar_groups(frame(spark, [])).collect() == []
+
+
+def test_short_texts(spark):  # noqa: ANN001
+    """Sets of so few words that most of their parts are empty."""
+    rng = random.Random(4)
+    rows = [("chunk", i, " ".join(f"x{rng.randrange(12)}" for _ in range(rng.choice([3, 8, 30])))) for i in range(80)]
+    assert {tuple(r) for r in N.similar_records(frame(spark, rows), min_words=2, few=1).collect()} == brute(rows, least=2)

@@ -5,7 +5,8 @@ two sets of given sizes may differ in.  The vocabulary is hashed into D + 2
 parts, so at least two parts hold exactly the same words in both sets.  Small
 sets enumerate fixed-size subsets of their parts: every single part, and for
 parts whose words stand alike in many sets every pair of such parts, and meet
-where a subset is equal.  For large sets that would be too many; they scan the
+where a subset is equal; sets of a pair that very many share meet in blocks, so
+no task holds them all.  For large sets that would be too many; they scan the
 inverted lists of the words of their prefix, rarest words first, instead.  The
 boundary between small and large is the size at which the estimated cost of both
 ways together is least.  A bitmap of each set travels with it, so most pairs
@@ -27,17 +28,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrain.runtime import BROADCAST_ROWS, join_small, stage
+from tidegrain.operators.graphs import components
+from tidegrain.runtime import join_small, stage
 
-#: Sets that may share a part before it is taken in pairs with other parts.
-FEW = 256
+#: Sets that may share a part before it is taken in pairs with other parts, and
+#: how many times as many may share a pair before they meet in blocks.
+FEW, BLOCK_FEW = 256, 16
 #: Shared-word counts of at most this many words are sent to all executors (12
 #: bytes a word); beyond it they are joined by a shuffle.
 BROADCAST_WORDS = 2_000_000
-#: Unless all pairs are asked for: classes of equal word sets are expanded into
-#: all pairs up to this many members; in larger ones each member is paired with
-#: the least member.
-EXPAND_MEMBERS = 64
 #: Words looked at together in a worker.
 _SLICE = 400_000
 
@@ -89,7 +88,12 @@ def _bitmaps(words: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
 def _part_keys(levels: np.ndarray, threshold: float):  # noqa: ANN202
     """Rows (key, class_id, sized, b0, b1): the words of each part, at the level
     of the set's own size and at the next one.  ``sized`` is twice the size,
-    and one more at its own level."""
+    and one more at its own level.
+
+    Keys are odd for empty parts.  Two empty parts say nothing, so they are no
+    pair; similar sets whose equal parts are all empty have D parts with words
+    at most, and such sets have a second, even key for each empty part.
+    """
     parts = _differing(levels, threshold) + 2
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,8 +112,12 @@ def _part_keys(levels: np.ndarray, threshold: float):  # noqa: ANN202
                     set_of = np.repeat(np.arange(len(rows)), n)
                     number = np.arange(len(content)) - first[set_of]
                     key = _mix(content ^ _mix((level[set_of] * 100_003 + number).astype(np.uint64), 17), 19)
+                    empty = content == 0
+                    sparse = empty & (np.bincount(set_of, ~empty, len(rows)) <= n - 2)[set_of]
+                    key = np.r_[key & ~np.uint64(1) | empty, _mix(key[sparse], 23) & ~np.uint64(1)]
+                    of_set = np.r_[set_of, set_of[sparse]]
                     yield pd.DataFrame({
-                        "key": key.view(np.int64), "class_id": rows["class_id"].to_numpy()[set_of], "sized": (size.astype(np.int64) * 2 + (1 - up))[set_of], "b0": b0[set_of], "b1": b1[set_of],
+                        "key": key.view(np.int64), "class_id": rows["class_id"].to_numpy()[of_set], "sized": (size.astype(np.int64) * 2 + (1 - up))[of_set], "b0": b0[of_set], "b1": b1[of_set],
                     })
 
     return run
@@ -130,24 +138,44 @@ def _meet(left: DataFrame, right: DataFrame, threshold: float, also: Column) ->
     return pairs.select(F.least("class_id_a", "class_id_b").alias("a"), F.greatest("class_id_a", "class_id_b").alias("b")).distinct()
 
 
+def _heavy(made: DataFrame, few: int) -> tuple[DataFrame, int]:
+    """The keys of more than ``few`` rows, with their rows, and how many."""
+    heavy = stage(made.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > few))
+    return heavy, heavy.count()
+
+
+def _blocks(many: DataFrame, heavy: DataFrame, n_heavy: int, block: int) -> DataFrame:
+    """Rows of heavy keys, once for every pair of blocks of about ``block`` sets
+    that theirs is in, so that no task holds all sets of a key."""
+    own = join_small(many, heavy, ["key"], rows=n_heavy).withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("blocks")))
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return other.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).select(many.columns)
+
+
 def _small_pairs(sets: DataFrame, largest: int, threshold: float, few: int) -> DataFrame:
-    """Candidate pairs of sets by equal parts."""
-    made = sets.mapInPandas(_part_keys(size_levels(largest, threshold), threshold), "key long, class_id long, sized long, b0 long, b1 long")
+    """Candidate pairs of sets by equal subsets of parts."""
     columns = ["key", "class_id", "sized", "b0", "b1"]
+    made = sets.mapInPandas(_part_keys(size_levels(largest, threshold), threshold), "key long, class_id long, sized long, b0 long, b1 long")
     order = (F.col("class_id_a") < F.col("class_id_b")) & (F.col("sized_a").bitwiseOR(F.col("sized_b")) % 2 == 1)
-    heavy = stage(made.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > few).select("key"))
-    n = heavy.count()
-    light = made.join(F.broadcast(heavy), "key", "left_anti") if n <= BROADCAST_ROWS else made.join(heavy, "key", "left_anti")
+    heavy, n = _heavy(made, few)
+    light = join_small(made, heavy.select("key"), ["key"], "left_anti", n)
     pairs = _meet(light, light, threshold, order)  # FEW rows a key at most
     if not n:
         return pairs
-    many = join_small(made, heavy, ["key"], "left_semi", n)
-    # the parts of one set at one level, as many as D + 2 at most
+    many = join_small(made, heavy.select("key"), ["key"], "left_semi", n)
+    # the parts of one set at one level, as many as D + 2 and the second keys
     held = many.groupBy(*columns[1:]).agg(F.sort_array(F.collect_set("key")).alias("keys"))
     firsts = held.select("*", F.posexplode("keys").alias("i", "k1"))
     both = firsts.select(*columns[1:], "k1", F.explode(F.slice("keys", F.col("i") + 2, F.size("keys"))).alias("k2"))
-    double = both.select(F.xxhash64("k1", "k2").alias("key"), *columns[1:])
-    return pairs.unionAll(_meet(double, double, threshold, order))
+    double = both.where("(k1 & k2 & 1) = 0").select(F.xxhash64("k1", "k2").alias("key"), *columns[1:])
+    double = stage(double)
+    heavy, n = _heavy(double, few * BLOCK_FEW)
+    light = join_small(double, heavy.select("key"), ["key"], "left_anti", n)
+    pairs = pairs.unionAll(_meet(light, light, threshold, order))
+    if n:
+        spread = _blocks(join_small(double, heavy.select("key"), ["key"], "left_semi", n), heavy, n, few * BLOCK_FEW)
+        pairs = pairs.unionAll(_meet(spread, spread, threshold, order))
+    return pairs
 
 
 def _prefixes(ranked: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
@@ -246,8 +274,8 @@ def word_sets(records: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]
     hashed = records.where("text IS NOT NULL AND id IS NOT NULL").select("entity", "id", F.array_sort(words).alias("words"))
     hashed = hashed.where(F.size("words") >= max(1, min_words)).withColumn("class_id", F.xxhash64("words"))
     rows = stage(hashed.withColumn("row", F.monotonically_increasing_id()))
-    copied = rows.groupBy("class_id").agg(F.min("row").alias("kept"), F.count("*").alias("n")).where("n > 1")
-    extra = stage(rows.select("row", "class_id").join(copied, "class_id").where("row != kept").select("row"))
+    copied = stage(rows.groupBy("class_id").agg(F.min("row").alias("kept"), F.count("*").alias("n")).where("n > 1").select("class_id", "kept"))
+    extra = stage(join_small(rows.select("row", "class_id"), copied, ["class_id"]).where("row != kept").select("row"))
     sets = join_small(rows, extra, ["row"], "left_anti").select("class_id", F.size("words").alias("size"), "words")
     return rows.select("entity", "id", "class_id").distinct(), sets
 
@@ -262,25 +290,26 @@ def _all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return linked.where("id_a != id_b").distinct()
 
 
-def similar_records(records: DataFrame, threshold: float = 0.8, min_words: int = 20, broadcast_words: int = BROADCAST_WORDS, few: int = FEW, boundary: int | None = None, expand: int | None = EXPAND_MEMBERS) -> DataFrame:
-    """Distinct (entity, id_a, id_b), id_a < id_b, of similar records.
+def similar_records(records: DataFrame, threshold: float = 0.8, min_words: int = 20, broadcast_words: int = BROADCAST_WORDS, few: int = FEW, boundary: int | None = None, expand: int | None = None) -> DataFrame:
+    """Distinct (entity, id_a, id_b), id_a < id_b, of similar records: all pairs.
 
     ``records``: entity string, id long, text string; other columns are
     ignored.  Null texts and texts of fewer than ``min_words`` distinct words
     are no records; rows given twice count once; of records given with several
     texts each text counts.  An empty table gives no rows.  Pairs are between
-    records of the same entity.  With ``expand`` None every pair comes out.
-    Otherwise, records of equal word sets being a class, up to ``expand``
-    members every pair comes out, in larger classes each member with the least
-    one; the same holds for the members of two similar classes.
+    records of the same entity.  Only with ``expand`` given, records of equal
+    word sets being a class, members of classes of more than ``expand`` are
+    paired with the least member alone, of their own and of similar classes;
+    ``similar_groups`` gives the membership in a size that follows the records.
     """
     members, sets = word_sets(records, min_words)
     members = stage(members)
     pairs = stage(similar_classes(sets, threshold, broadcast_words, few, boundary))
     if expand is None:
         return _all_pairs(members, pairs)
-    sizes = members.groupBy("class_id").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    known = stage(members.join(sizes, "class_id"))
+    multiple = stage(members.groupBy("class_id").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1"))
+    known = join_small(members, multiple, ["class_id"], "left").select("entity", "id", "class_id", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("least", "id").alias("least"))
+    known = stage(known)
     side = lambda x: known.select("entity", F.col("class_id").alias(x), F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), F.col("least").alias(f"least_{x}"))
     a, b = side("a"), side("b").drop("entity")
     shown = lambda x: F.expr(f"n_{x} <= {expand} OR id_{x} = least_{x}")
@@ -293,3 +322,26 @@ def similar_records(records: DataFrame, threshold: float = 0.8, min_words: int =
     own = own.select("entity", F.posexplode("ids").alias("i", "id_a"), "ids").select("entity", "id_a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("id_b"))
     star = known.where(f"n > {expand} AND id != least").select("entity", F.col("least").alias("id_a"), F.col("id").alias("id_b"))
     return linked.unionByName(own).unionByName(star).where("id_a != id_b").distinct()
+
+
+def similar_groups(records: DataFrame, threshold: float = 0.8, min_words: int = 20, **options: int) -> DataFrame:
+    """(entity, id, group_id, links): every record that is similar to another.
+
+    Groups are the connected components of similarity, named by their least id;
+    ``links`` counts the records that one is similar to.  One row a record, so
+    the size follows the records and not their pairs; records given with
+    several texts count as of each text.  See ``similar_records``.
+    """
+    members, sets = word_sets(records, min_words)
+    members = stage(members)
+    pairs = stage(similar_classes(sets, threshold, **options))
+    sizes = stage(members.groupBy("class_id").agg(F.count("*").alias("n"), F.min("id").alias("least")))
+    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(sizes.select(F.col("class_id").alias("b"), "n"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("near"))
+    known = sizes.join(near, "class_id", "left").join(components(pairs).withColumnRenamed("node", "class_id"), "class_id", "left")
+    known = known.select("class_id", "least", F.coalesce("component", "class_id").alias("component"), (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("links")).where("links > 0")
+    known = stage(known)
+    named = known.groupBy("component").agg(F.min("least").alias("group_id"))
+    classes = stage(known.join(named, "component").select("class_id", "group_id", "links"))
+    rows = join_small(members, classes, ["class_id"])
+    return rows.groupBy("entity", "id").agg(F.min("group_id").alias("group_id"), F.sum("links").alias("links"))

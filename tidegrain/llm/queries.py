@@ -22,10 +22,18 @@ def p2_rounded(spark: SparkSession, root: str) -> DataFrame:
     return percentiles.percentiles(percentiles.value_counts(percentiles.unique_runs(table(spark, root, "analytics_runs")), bits=8))
 
 
-def p3_found(spark: SparkSession, root: str) -> DataFrame:
+def _texts(spark: SparkSession, root: str) -> DataFrame:
     chunks = table(spark, root, "chunks").select(F.lit("chunk").alias("entity"), F.col("chunk_no").alias("id"), "text")
     summaries = table(spark, root, "documents").select(F.lit("summary").alias("entity"), F.col("doc_id").alias("id"), F.col("semantic_summary").alias("text"))
-    return near_duplicates.similar_records(chunks.unionByName(summaries), expand=None)
+    return chunks.unionByName(summaries)
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return near_duplicates.similar_records(_texts(spark, root))
+
+
+def p3_groups(spark: SparkSession, root: str) -> DataFrame:
+    return near_duplicates.similar_groups(_texts(spark, root))
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
@@ -79,7 +87,7 @@ def p10_stretches(spark: SparkSession, root: str) -> DataFrame:
     return languages.stretches(table(spark, root, "documents"), table(spark, root, "lang_samples"))
 
 
-QUERIES = {"p2_percentiles": p2_percentiles, "p2_by_days": p2_by_days, "p2_rounded": p2_rounded, "p8_containers": p8_containers, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_main_texts": p5_main_texts, "p5_page_bodies": p5_page_bodies, "p6_found": p6_found, "p6_clean_chunks": p6_clean_chunks, "p7_found": p7_found, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_stretches": p10_stretches}
+QUERIES = {"p2_percentiles": p2_percentiles, "p2_by_days": p2_by_days, "p2_rounded": p2_rounded, "p8_containers": p8_containers, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p5_found": p5_found, "p5_main_texts": p5_main_texts, "p5_page_bodies": p5_page_bodies, "p6_found": p6_found, "p6_clean_chunks": p6_clean_chunks, "p7_found": p7_found, "p9_found": p9_found, "p9_passages": p9_passages, "p10_found": p10_found, "p10_stretches": p10_stretches}
 
 _LINES = r"""
 WITH once AS (SELECT DISTINCT chunk_no, doc_id, text FROM chunks WHERE text IS NOT NULL),
@@ -109,6 +117,19 @@ JOIN (SELECT unnest([50, 90, 95, 99])::INTEGER AS percent) ON r = greatest(1, (n
 """
 _ROUND = "(({0} >> greatest(0, (floor(log2(greatest({0}, 1)))::INTEGER - 7))) << greatest(0, (floor(log2(greatest({0}, 1)))::INTEGER - 7)))"
 
+_SIMILAR = r"""
+WITH RECURSIVE texts AS (
+  SELECT 'chunk' AS entity, chunk_no AS id, text FROM chunks UNION
+  SELECT 'summary', doc_id, semantic_summary FROM documents),
+sets AS (SELECT entity, id, list_distinct(regexp_extract_all(lower(text), '[\pL\pN]+')) AS ws FROM texts WHERE text IS NOT NULL),
+big AS (SELECT * FROM sets WHERE len(ws) >= 20),
+words AS (SELECT entity, id, len(ws) AS n, unnest(ws) AS w FROM big),
+similar_texts AS (SELECT entity, id_a, id_b FROM (
+  SELECT a.entity, a.id AS id_a, b.id AS id_b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM words a JOIN words b ON a.entity = b.entity AND a.w = b.w AND a.id < b.id GROUP BY a.entity, a.id, b.id)
+WHERE shared >= 0.8 * (na + nb - shared) - 1e-9)
+"""
+
 SQL = {
     "p2_percentiles": _PERCENTILES.format(latency="latency_ms", bytes="packet_bytes"),
     "p2_by_days": _PERCENTILES.format(latency="latency_ms", bytes="packet_bytes"),
@@ -121,16 +142,11 @@ SELECT t.chunk_no, len(coalesce(nos, []))::INTEGER AS removed_lines,
   array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(coalesce(nos, []), i::INTEGER)), chr(10)) AS text
 FROM texts t LEFT JOIN gone g ON g.chunk_no = t.chunk_no
 """,
-    "p3_found": r"""
-WITH texts AS (
-  SELECT 'chunk' AS entity, chunk_no AS id, text FROM chunks UNION
-  SELECT 'summary', doc_id, semantic_summary FROM documents),
-sets AS (SELECT entity, id, list_distinct(regexp_extract_all(lower(text), '[\pL\pN]+')) AS ws FROM texts WHERE text IS NOT NULL),
-big AS (SELECT * FROM sets WHERE len(ws) >= 20),
-words AS (SELECT entity, id, len(ws) AS n, unnest(ws) AS w FROM big)
-SELECT entity, id_a, id_b FROM (
-  SELECT a.entity, a.id AS id_a, b.id AS id_b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb
-  FROM words a JOIN words b ON a.entity = b.entity AND a.w = b.w AND a.id < b.id GROUP BY a.entity, a.id, b.id)
-WHERE shared >= 0.8 * (na + nb - shared) - 1e-9
+    "p3_found": _SIMILAR + "SELECT * FROM similar_texts",
+    "p3_groups": _SIMILAR + """,
+links AS (SELECT entity, id_a AS id, id_b AS other FROM similar_texts UNION ALL SELECT entity, id_b, id_a FROM similar_texts),
+reach AS (SELECT DISTINCT entity, id, id AS seen FROM links UNION SELECT r.entity, r.id, l.other FROM reach r JOIN links l ON l.entity = r.entity AND l.id = r.seen),
+least AS (SELECT entity, id, min(seen) AS group_id FROM reach GROUP BY entity, id)
+SELECT entity, id, any_value(group_id) AS group_id, count(*) AS links FROM links JOIN least USING (entity, id) GROUP BY entity, id
 """,
 }
