@@ -9,6 +9,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tidegrain.operators import snapshots
+
 from tidegrain.operators.snapshots import document_changes, fingerprint_changes
 
 T0 = datetime(2025, 1, 1)
@@ -74,3 +76,18 @@ def test_fingerprints(spark):  # noqa: ANN001
     ]
     found = fingerprint_changes(spark.createDataFrame(rows, fields)).select(F.concat_ws(" ", "record_key", "change_kind")).collect()
     assert sorted(r[0] for r in found) == ["1/fp_b changed", "1/fp_c changed", "2/fp_d added"]
+
+
+def test_repeated_keys_and_far_numbers(spark):  # noqa: ANN001
+    """A key given twice in a snapshot counts once, numbers may be dates."""
+    states = [(20250101, "a", 1), (20250101, "a", 2), (20250102, "a", 2), (20250102, "b", 1), (20250102, "b", 1)]
+    found = snapshots.snapshot_changes(spark.createDataFrame(states, "snapshot_no int, record_key string, v int"), ["v"], [F.col("v")], lambda a, b: F.col(f"{a}.v") != F.col(f"{b}.v"))
+    assert [tuple(r) for r in found.collect()] == [(20250102, "b", "added")]
+
+
+def test_large_tables_are_divided(spark, monkeypatch):  # noqa: ANN001
+    """All keys differ and share one bucket, which is divided until it decodes."""
+    monkeypatch.setattr(snapshots, "MOST_CELLS", 8)
+    states = [(n, f"k{n}-{i}", 1) for n in (1, 2) for i in range(300)]
+    found = snapshots.snapshot_changes(spark.createDataFrame(states, "snapshot_no int, record_key string, v int"), ["v"], [F.col("v")], lambda a, b: F.lit(True), first_cells=2)
+    assert found.groupBy("change_kind").count().orderBy("change_kind").collect() == [("added", 300), ("removed", 300)]

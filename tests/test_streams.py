@@ -61,3 +61,26 @@ def test_deltas(spark, tmp_path):  # noqa: ANN001
 def test_nothing_to_read(spark, tmp_path):  # noqa: ANN001
     spark.createDataFrame([], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     assert folds.drained(folds.sessions(folds.stream_table(spark, str(tmp_path), "events"), "1 hour"), "complete").collect() == []
+
+
+def test_restart(spark, tmp_path):  # noqa: ANN001
+    """A stream that is run again with its checkpoint keeps what it had, and a
+    batch that is tried again counts once."""
+    def add(first):  # noqa: ANN001, ANN202
+        made = [(i, T0 + timedelta(minutes=i), i % 5, "a", float(i)) for i in range(first, first + 5)]
+        spark.createDataFrame(made, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+
+    def run():  # noqa: ANN202
+        stream = folds.stream_table(spark, str(tmp_path), "events", 1)
+        upserted = folds.upserted_stream(stream, ["event_id"], ["ts"], ["event_id", "ts", "value"], place=f"{tmp_path}/upserted")
+        appended = folds.drained(folds.stream_table(spark, str(tmp_path), "events", 1).select("event_id"), "append", place=f"{tmp_path}/appended")
+        return sorted(r.event_id for r in upserted.collect()), sorted(r.event_id for r in appended.collect())
+
+    for first in (0, 5, 10):
+        add(first)
+        assert run() == (list(range(first + 5)),) * 2
+    for name in ("upserted", "appended"):  # as if the last batch had failed after its write
+        (commit,) = sorted((tmp_path / name / "checkpoint/commits").glob("[0-9]*"), key=lambda p: int(p.name))[-1:]
+        commit.unlink()
+        (commit.parent / f".{commit.name}.crc").unlink(missing_ok=True)
+    assert run() == (list(range(15)),) * 2

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrain.functions.values import ratio
+from tidegrain.runtime import join_small, stage
 
 
 def saved(raw: str = "raw_fetch_chars", kept: str = "final_context_chars") -> Column:
@@ -91,7 +92,8 @@ def provider_health(events: DataFrame, as_of: Column) -> DataFrame:
     sums = events.groupBy("provider").agg(
         *(count(o) for o in ["success", *COOLDOWN]), F.max(F.when(F.col("outcome") == "success", at)).alias("last_success"), F.max_by("outcome", at).alias("last_outcome"), F.max(rest).alias("cooldown_until"),
     )
-    later = events.join(F.broadcast(sums.select("provider", "last_success")), "provider").where((F.col("outcome") != "success") & (F.col("last_success").isNull() | (at > F.col("last_success"))))
+    sums = stage(sums)
+    later = join_small(events, sums.select("provider", "last_success"), ["provider"]).where((F.col("outcome") != "success") & (F.col("last_success").isNull() | (at > F.col("last_success"))))
     streaks = later.groupBy("provider").agg(F.count("*").alias("consecutive"))
     known = sums.join(streaks, "provider", "left").withColumn("consecutive", F.coalesce("consecutive", F.lit(0))).drop("last_success")
     cooling = F.coalesce(F.col("cooldown_until") > as_of, F.lit(False))

@@ -3,9 +3,8 @@
 Each snapshot becomes one invertible Bloom lookup table per hash bucket of the
 record keys.  The tables of two neighbouring snapshots are subtracted, which
 cancels every record that is alike in both, and the rest is peeled.  Buckets
-that cannot be peeled are encoded again with twice the cells, so what is moved
-follows the number of differences and not the number of records.  The recovered
-key hashes are looked up in the snapshots, compared value by value and
+that cannot be peeled are encoded again with twice the cells, and divided when
+their tables grow large.  The recovered key hashes are looked up in the snapshots, compared value by value and
 classified.
 """
 
@@ -21,12 +20,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrain.runtime import Staged, stage
+from tidegrain.runtime import BROADCAST_ROWS, stage
 
 #: Records that a hash bucket holds on average, and the cells of one of its
 #: three subtables in the first pass; each later pass doubles the cells.
 BUCKET_ROWS = 2_000
 FIRST_CELLS = 256
+#: Cells of a subtable beyond which a bucket is divided instead, into how many,
+#: and passes after which decoding is given up with an error.
+MOST_CELLS, DIVIDE, PASSES = 1 << 14, 16, 64
 #: Bits of the pair hash that choose a cell in each subtable.
 _BITS = 20
 _MASK = (1 << _BITS) - 1
@@ -82,26 +84,31 @@ def _peeler(size: int, salt: int) -> Callable[[tuple, pd.DataFrame], pd.DataFram
     return run
 
 
-def _encode(rows: DataFrame, first: int, last: int, size: int, salt: int) -> DataFrame:
-    """Subtracted cells per transition and bucket; equal records cancel."""
-    ways = F.array(
-        F.struct(F.col("snapshot_no").alias("transition"), F.lit(1).alias("sign")),
-        F.struct((F.col("snapshot_no") + 1).alias("transition"), F.lit(-1).alias("sign")),
-    )
+def sketch(rows: DataFrame, size: int, salt: int) -> DataFrame:
+    """The lookup tables of each snapshot: (snapshot_no, bucket, cell, n, x1,
+    x2, xv, xp) of rows (snapshot_no, bucket, k1, k2, value).
+
+    Tables of the same buckets, size and salt are added by summing n and xoring
+    the rest, and can be kept with the snapshot.
+    """
     pair = F.xxhash64("k1", "k2", "value", F.lit(salt).cast("long"))
     cells = F.array(*(F.lit(i * size) + F.shiftrightunsigned("pair", i * _BITS).bitwiseAND(F.lit(_MASK)) % F.lit(size) for i in range(3)))
+    keyed = rows.withColumn("pair", pair).withColumn("cell", F.explode(cells))
+    return keyed.groupBy("snapshot_no", "bucket", "cell").agg(
+        F.count("*").alias("n"), F.bit_xor("k1").alias("x1"), F.bit_xor("k2").alias("x2"), F.bit_xor("value").alias("xv"), F.bit_xor("pair").alias("xp")
+    )
+
+
+def subtract(tables: DataFrame) -> DataFrame:
+    """Tables of each snapshot less those of the one before, by transition;
+    equal records cancel.  Empty cells are left out."""
+    ways = F.explode(F.array(F.struct(F.col("snapshot_no").alias("transition"), F.lit(1).alias("sign")), F.struct((F.col("snapshot_no") + 1).alias("transition"), F.lit(-1).alias("sign"))))
+    signed = tables.select("*", ways.alias("way"))
     return (
-        rows.withColumn("pair", pair)
-        .withColumn("way", F.explode(ways))
-        .where(F.col("way.transition").between(first + 1, last))
-        .withColumn("cell", F.explode(cells))
-        .groupBy(F.col("way.transition").alias("transition"), "bucket", "cell")
-        .agg(
-            F.sum("way.sign").alias("n"), F.bit_xor("k1").alias("x1"), F.bit_xor("k2").alias("x2"),
-            F.bit_xor("value").alias("xv"), F.bit_xor("pair").alias("xp"),
-        )
+        signed.groupBy(F.col("way.transition").alias("transition"), "bucket", "cell")
+        .agg(F.sum(F.col("n") * F.col("way.sign")).alias("n"), *(F.bit_xor(x).alias(x) for x in ("x1", "x2", "xv", "xp")))
         .where("n != 0 OR x1 != 0 OR x2 != 0 OR xv != 0 OR xp != 0")
-    )
+    )
 
 
 def snapshot_changes(
@@ -123,31 +130,34 @@ def snapshot_changes(
     Rows with a null key or snapshot number are no records.  Snapshot numbers
     are compared with the number one less, also if a number in between has no
     rows (all its records are then removed, and come back as added).  An empty
-    table or a single snapshot has no changes.  Rows given twice must be made
-    one before (see ``latest_states``).
+    table or a single snapshot has no changes.  Of rows with the same snapshot
+    and key the one with the greatest payload holds (see ``latest_states`` for
+    other orders).
 
     Returns ``snapshot_no``, ``record_key``, ``change_kind``.
     """
     spark = states.sparkSession
-    rows = states.where(F.col("record_key").isNotNull() & F.col("snapshot_no").isNotNull()).select(
-        "snapshot_no", "record_key", F.struct(*payload).alias("payload"),
+    known = states.where(F.col("record_key").isNotNull() & F.col("snapshot_no").isNotNull())
+    known = known.groupBy("snapshot_no", "record_key").agg(F.max(F.struct(*payload)).alias("payload"))
+    rows = known.select("snapshot_no", "record_key", "payload", *(F.col(f"payload.{c}").alias(c) for c in payload)).select(
+        "snapshot_no", "record_key", "payload",
         F.xxhash64("record_key").alias("k1"), F.xxhash64(F.lit("second"), "record_key").alias("k2"),
         F.xxhash64(*digest).alias("value"),
     )
     rows = stage(rows)
-    total, first, last = rows.agg(F.count("*"), F.min("snapshot_no"), F.max("snapshot_no")).first()
+    total, first, last, snapshots = rows.agg(F.count("*"), F.min("snapshot_no"), F.max("snapshot_no"), F.count_distinct("snapshot_no")).first()
     result = "snapshot_no int, record_key string, change_kind string"
     if not total or first == last:
         return spark.createDataFrame([], result)
-    buckets = max(1, -(-total // (bucket_rows * (last - first + 1))))
-    keyed = rows.select("snapshot_no", "k1", "k2", "value", F.pmod("k1", F.lit(buckets)).alias("bucket"))
+    buckets = max(1, -(-total // (bucket_rows * snapshots)))
+    keyed = rows.select("snapshot_no", "k1", "k2", "value")
     size, salt, open_buckets, decoded = first_cells, 0, None, []
     while True:
-        part = keyed
+        part = keyed.withColumn("bucket", F.pmod("k1", F.lit(buckets)))
         if open_buckets is not None:
             ways = open_buckets.select("bucket", F.explode(F.array("transition", F.col("transition") - 1)).alias("snapshot_no")).distinct()
             part = part.join(ways, ["bucket", "snapshot_no"], "left_semi")
-        cells = _encode(part, first, last, size, salt)
+        cells = subtract(sketch(part, size, salt)).where(F.col("transition").between(first + 1, last))
         if open_buckets is not None:
             cells = cells.join(open_buckets, ["transition", "bucket"], "left_semi")
         out = stage(cells.groupBy("transition", "bucket").applyInPandas(_peeler(size, salt), "transition int, bucket long, k1 long, k2 long, sign long"))
@@ -155,10 +165,16 @@ def snapshot_changes(
         open_buckets = out.where("sign = 0").select("transition", "bucket")
         if open_buckets.isEmpty():
             break
-        size, salt = min(size * 2, _MASK), salt + 1
-    recovered = reduce(DataFrame.unionAll, decoded).groupBy("transition", "k1", "k2").agg(F.max("sign").alias("_"))
+        size, salt = size * 2, salt + 1
+        if salt >= PASSES:
+            raise RuntimeError(f"lookup tables that could not be decoded in {PASSES} passes")
+        if size > MOST_CELLS:  # a residue class of keys is the union of its finer ones
+            open_buckets = open_buckets.select("transition", F.explode(F.transform(F.sequence(F.lit(0), F.lit(DIVIDE - 1)), lambda i: F.col("bucket") + i.cast("long") * buckets)).alias("bucket"))
+            buckets, size = buckets * DIVIDE, max(MOST_CELLS // DIVIDE, 1)
+    recovered = stage(reduce(DataFrame.unionAll, decoded).select("transition", "k1", "k2").distinct())
     here = rows.select("k1", "k2", "record_key", "payload", "snapshot_no")
-    sides = recovered.join(here, ["k1", "k2"]).where("snapshot_no IN (transition, transition - 1)")
+    # beyond the bound both sides are shuffled: a key has one row a snapshot
+    sides = here.join(F.broadcast(recovered) if recovered.count() <= BROADCAST_ROWS else recovered, ["k1", "k2"]).where("snapshot_no IN (transition, transition - 1)")
     new = F.col("snapshot_no") == F.col("transition")
     both = sides.groupBy(F.col("transition").alias("snapshot_no"), "record_key").agg(
         F.max(F.when(~new, 1)).alias("in_old"), F.max(F.when(new, 1)).alias("in_new"),

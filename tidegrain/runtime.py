@@ -7,14 +7,15 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows that a broadcast side may have at most; rows are narrow keys (under
-#: about 100 bytes each), so this is at most some tens of MB an executor.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes that a broadcast side may have at most.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 48 << 20
 #: Copies of the small side when a join beyond the bound has to be salted.
 SALTS = 16
 
@@ -55,6 +56,10 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Staged tables of this process that are still there.
+_STAGED: dict[str, Staged] = {}
+
+
 class Staged:
     """A DataFrame written to shared storage: lineage ends at the files."""
 
@@ -63,12 +68,30 @@ class Staged:
         self.path = f"{shared_dir(self.spark)}/tidegrain-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        _STAGED[self.path] = self
 
     def drop(self) -> None:
         """Delete the files; only for results that nothing reads any more."""
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _STAGED.pop(self.path, None)
+
+
+@contextmanager
+def staging() -> Iterator[None]:
+    """Everything staged inside is deleted at the end; results have to be
+    written or collected before.
+
+        with staging():
+            engine.query(pages, goals).write.parquet(target)
+    """
+    before = set(_STAGED)
+    try:
+        yield
+    finally:
+        for path in set(_STAGED) - before:
+            _STAGED[path].drop()
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -76,17 +99,32 @@ def stage(df: DataFrame) -> DataFrame:
     return Staged(df).df
 
 
+def broadcast_cost(rows: DataFrame, known: int | None = None) -> tuple[int, int]:
+    """Rows and bytes of a table; what is of fixed width is not read."""
+    wide = [f for f in rows.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))]
+    fixed = 16 + 8 * len(rows.columns)
+    if known is not None and not wide:
+        return known, known * fixed
+    size = lambda f: F.octet_length(f.name) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.octet_length(F.to_json(F.struct(F.col(f.name)))) * 2
+    more = sum((F.coalesce(F.sum(size(f)), F.lit(0)) for f in wide), F.lit(0))
+    n, extra = rows.agg(F.count("*"), more).first()
+    return n, n * fixed + extra
+
+
 def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a side that is usually small, without assuming that it is.
 
     ``rows`` is the row count of ``right`` (counted here if not given, so
-    ``right`` should be staged).  Up to ``limit`` rows it is broadcast.  Beyond
-    that both sides are shuffled with a salt, so that one key holding a large
-    part of ``left`` is spread over SALTS tasks.  ``how`` may be inner, left,
-    left_semi or left_anti: each left row meets all its matches either way.
+    ``right`` should be staged).  Up to ``limit`` rows and BROADCAST_BYTES it is
+    broadcast.  Beyond that both sides are shuffled with a salt, so that one key
+    holding a large part of ``left`` is spread over SALTS tasks.  ``how`` may be
+    inner, left, left_semi or left_anti: each left row meets all its matches
+    either way.
     """
-    if (right.count() if rows is None else rows) <= limit:
-        return left.join(F.broadcast(right), on, how)
+    if rows is None or rows <= limit:
+        rows, size = broadcast_cost(right, rows)
+        if rows <= limit and size <= BROADCAST_BYTES:
+            return left.join(F.broadcast(right), on, how)
     salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     keyed = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
     return keyed.join(salted, [*on, "_salt"], how).drop("_salt")

@@ -23,26 +23,37 @@ def stream_table(spark: SparkSession, root: str, name: str, files_per_batch: int
     return reader.parquet(f"{path}*")
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
+def _listed(spark: SparkSession, place: str) -> list[str]:
+    """Names in a folder of the shared storage; none if it isn't there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in files.listStatus(path)) if files.exists(path) else []
+
+
+def _place(spark: SparkSession, place: str | None) -> str:
+    return place or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def drained(stream: DataFrame, mode: str, place: str | None = None) -> DataFrame:
     """All that a stream has now, run to its end; its last state as a table.
 
     In complete mode each batch replaces the table; in append mode it adds to
-    it.  The checkpoint and the table are in the shared folder.
+    it.  The checkpoint and the table are in ``place``, by default a new folder
+    of the shared one; run again with the same place a stream goes on where it
+    stopped.  A batch is written under its number, so one that is tried again
+    after a failure replaces itself.
     """
     spark = stream.sparkSession
-    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    place = _place(spark, place)
     schema = stream.schema
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{place}/table")
+        batch.write.mode("overwrite").parquet(f"{place}/table/{0 if mode == 'complete' else number}")
 
     query = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{place}/table")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{place}/table")
+    parts = _listed(spark, f"{place}/table")
+    return spark.read.schema(schema).parquet(*(f"{place}/table/{p}" for p in parts)) if parts else spark.createDataFrame([], schema)
 
 
 def appended_runs(runs: DataFrame) -> DataFrame:
@@ -50,24 +61,33 @@ def appended_runs(runs: DataFrame) -> DataFrame:
     return runs.select("run_id", "completed_at", "operation", "latency_ms")
 
 
-def upserted_stream(stream: DataFrame, key: list[str], order: list[str], columns: list[str]) -> DataFrame:
-    """The newest row per key of all batches so far, kept by foreachBatch as two
-    tables by turns: a batch reads the last one and writes the next."""
+def upserted_stream(stream: DataFrame, key: list[str], order: list[str], columns: list[str], place: str | None = None) -> DataFrame:
+    """The newest row per key of all batches so far.
+
+    Each batch reads the table of the batch before and writes its own, named by
+    its number; both stay, so a batch that is tried again, also after a restart
+    from the checkpoint in ``place``, finds what it read before.
+    """
     spark = stream.sparkSession
-    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    at = {"path": None}
+    place = _place(spark, place)
+    schema = stream.select(*columns).schema
+
+    def tables() -> list[int]:
+        return sorted(int(name.removeprefix("table-")) for name in _listed(spark, place) if name.startswith("table-"))
 
     def put(batch: DataFrame, number: int) -> None:
         own = keyed.newest(batch.select(*columns), key, order)
-        merged = own if at["path"] is None else keyed.upsert(spark.read.parquet(at["path"]), own, key, order)
-        target = f"{place}/table-{number}"
-        merged.write.mode("overwrite").parquet(target)
-        at["path"] = target
+        before = [n for n in tables() if n < number]
+        merged = keyed.upsert(spark.read.schema(schema).parquet(f"{place}/table-{before[-1]}"), own, key, order) if before else own
+        merged.write.mode("overwrite").parquet(f"{place}/table-{number}")
+        for old in before[:-1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/table-{old}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     query = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    schema = stream.select(*columns).schema
-    return spark.read.parquet(at["path"]) if at["path"] else spark.createDataFrame([], schema)
+    done = tables()
+    return spark.read.schema(schema).parquet(f"{place}/table-{done[-1]}") if done else spark.createDataFrame([], schema)
 
 
 def host_profiles(documents: DataFrame) -> DataFrame:
