@@ -261,12 +261,17 @@ _FIT = "vector IS NOT NULL AND len(vector) = 64 AND len(list_filter(vector, lamb
 _COS = "round(list_cosine_similarity(q.vector::DOUBLE[], r.vector::DOUBLE[]), 9)"
 _RECENCY = f"CASE WHEN observed_at IS NULL THEN 0 WHEN date_diff('second', observed_at, TIMESTAMP '{AS_OF}') <= 86400 THEN 0.12 WHEN date_diff('second', observed_at, TIMESTAMP '{AS_OF}') <= 7 * 86400 THEN 0.08 WHEN date_diff('second', observed_at, TIMESTAMP '{AS_OF}') <= 30 * 86400 THEN 0.04 ELSE 0 END"
 _RATIO = "CASE WHEN {0} IS NULL OR isnan({0}) THEN 0 ELSE {0} END"
-_KNOWN = "known AS (SELECT url, lower(host) AS host, path, observed_at, stable_ratio, novelty_ratio, changed_recently FROM documents QUALIFY row_number() OVER (PARTITION BY url ORDER BY observed_at DESC NULLS LAST, doc_id DESC) = 1)"
+_KNOWN = "known AS (SELECT url, lower(host) AS host, path, observed_at, stable_ratio, novelty_ratio, changed_recently, coalesce(CASE WHEN json_valid(proof_refs_json) THEN json_array_length(proof_refs_json) END, 0) > 0 AS proved FROM documents QUALIFY row_number() OVER (PARTITION BY url ORDER BY observed_at DESC NULLS LAST, doc_id DESC) = 1)"
 _NEAR = f"""near AS (SELECT q.vec_id AS query_id, r.vec_id, {_COS} AS similarity FROM (SELECT DISTINCT vec_id, vector FROM {{0}} WHERE vec_id % 20 = 0 AND {_FIT}) q, (SELECT * FROM {{1}} WHERE {_FIT}) r
   QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, r.vec_id) <= 5)"""
 _BOTH = "(SELECT vec_id, vector FROM topic_docs UNION ALL SELECT vec_id, vector FROM topic_nodes)"
-_DOCHITS = f"{_KNOWN}, {_NEAR.format('topic_docs', 'topic_docs')}, dochits AS (SELECT query_id, k.url, round(3 * similarity + {_RECENCY} + CASE WHEN stable_ratio > 0 AND NOT isnan(stable_ratio) THEN stable_ratio ELSE 0 END * 0.08 + {_RATIO.format('novelty_ratio')} * 0.08 + CASE WHEN changed_recently THEN 0.06 ELSE 0 END, 6) AS score FROM near n JOIN (SELECT DISTINCT vec_id, url FROM topic_docs) t USING (vec_id) JOIN known k ON k.url = t.url WHERE similarity > 0)"
-_TOPHITS = f"{_NEAR.format('topic_docs', 'topic_nodes').replace('near AS', 'near2 AS')}, tophits AS (SELECT query_id, topic_key, representative_url AS url, round(3.15 * similarity + 0.18 * least(greatest(support_count - 1, 0), 4) + 0.12 * least(child_count, 3) + CASE WHEN topic_depth > 0 THEN 0.42::DOUBLE / (topic_depth + 1) ELSE 0 END + {_RECENCY}, 6) AS score FROM near2 JOIN topic_nodes USING (vec_id) WHERE similarity > 0)"
+_ASKED = f"asked AS (SELECT DISTINCT vec_id AS query_id, vector FROM topic_docs WHERE vec_id % 20 = 0 AND {_FIT})"
+_DOCHITS = f"""{_KNOWN}, {_ASKED}, stored AS (SELECT DISTINCT vec_id, t.url, vector, {_RECENCY.replace('observed_at', 'k.observed_at')} + CASE WHEN stable_ratio > 0 AND NOT isnan(stable_ratio) THEN stable_ratio ELSE 0 END * 0.08 + {_RATIO.format('novelty_ratio')} * 0.08 + CASE WHEN changed_recently THEN 0.06 ELSE 0 END + CASE WHEN proved THEN 0.08 ELSE 0 END AS bonus FROM topic_docs t JOIN known k ON k.url = t.url WHERE {_FIT}),
+docall AS (SELECT query_id, vec_id, url, {_COS} AS similarity, bonus FROM asked q, stored r),
+dochits AS (SELECT query_id, url, round(3 * similarity + bonus, 6) AS score FROM docall WHERE similarity > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(3 * similarity + bonus, 9) DESC, vec_id) <= 5)"""
+_TOPBONUS = f"0.18 * least(greatest(support_count - 1, 0), 4) + 0.12 * least(child_count, 3) + CASE WHEN topic_depth > 0 THEN 0.42::DOUBLE / (topic_depth + 1) ELSE 0 END + {_RECENCY}"
+_TOPHITS = f"""topall AS (SELECT query_id, vec_id, topic_key, representative_url AS url, {_COS} AS similarity, {_TOPBONUS} AS bonus FROM asked q, (SELECT * FROM topic_nodes WHERE {_FIT}) r),
+tophits AS (SELECT query_id, topic_key, url, round(3.15 * similarity + bonus, 6) AS score FROM topall WHERE similarity > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(3.15 * similarity + bonus, 9) DESC, vec_id) <= 5)"""
 _HOSTOF = "lower(nullif(regexp_extract(url, '(?i)^\\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:\\s]+)', 1), ''))"
 _PARTS = "list_filter(string_split({0}, '/'), lambda x: x <> '')"
 _TOPICS = f"""
@@ -289,8 +294,24 @@ c AS (SELECT node, min(label) AS component FROM r GROUP BY node)
 SQL = {
     "j05_similar_vectors": f"WITH {_NEAR.format(_BOTH, _BOTH)} SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::INTEGER AS rank, round(similarity, 6) AS similarity FROM near",
     "d16_document_hits": f"WITH {_DOCHITS} SELECT * FROM dochits",
-    "d16_topic_hits": f"WITH {_TOPHITS} SELECT * FROM tophits",
-    "d15_memory_search": f"WITH {_DOCHITS}, {_TOPHITS}, m AS (SELECT query_id, url, max(score) AS score FROM (SELECT * FROM dochits UNION ALL SELECT query_id, url, score FROM tophits) GROUP BY 1, 2 HAVING max(score) >= 0.15) SELECT query_id, url, score FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url DESC) <= 5",
+    "d16_topic_hits": f"WITH {_ASKED}, {_TOPHITS} SELECT * FROM tophits",
+    "d15_memory_search": f"""
+WITH {_DOCHITS}, {_TOPHITS}, f1 AS (SELECT query_id, url, max(score) AS score FROM (SELECT * FROM dochits UNION ALL SELECT query_id, url, score FROM tophits) GROUP BY 1, 2),
+w AS (SELECT DISTINCT query_id, host, '/' || array_to_string(list_slice(parts, 1, i), '/') AS root_path FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT query_id, {_HOSTOF} AS host, {_PARTS.format("regexp_extract(url, '(?i)^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1)")} AS parts FROM f1))),
+pp AS (SELECT host, url, {_PARTS.format('path')} AS parts FROM known), s AS (SELECT host, '/' || array_to_string(list_slice(parts, 1, i), '/') AS root_path, count(DISTINCT url) AS support FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM pp) GROUP BY 1, 2),
+roots AS (SELECT query_id, k.url, 1.4::DOUBLE + least((support - 1) * 0.32, 0.9) + {_RECENCY} + {_RATIO.format('stable_ratio')} * 0.05 + {_RATIO.format('novelty_ratio')} * 0.05 + CASE WHEN proved THEN 0.06 ELSE 0 END AS score FROM w JOIN s USING (host, root_path) JOIN known k ON k.host = w.host AND k.path = w.root_path WHERE support >= 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, k.url) <= 3),
+f2 AS (SELECT query_id, url, max(score) AS score FROM (SELECT * FROM f1 UNION ALL SELECT * FROM roots) GROUP BY 1, 2),
+p AS (SELECT DISTINCT page_no, url, html FROM raw_pages WHERE html IS NOT NULL), t AS (SELECT page_no, max(fetched_at) AS observed_at FROM raw_pages GROUP BY page_no),
+l AS (SELECT page_no, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href FROM p),
+e AS (SELECT url, regexp_extract(url, '^https?://[^/]+') || href AS target, max(observed_at) AS observed_at FROM l JOIN t USING (page_no) GROUP BY 1, 2),
+near AS (SELECT query_id, target FROM f2 JOIN (SELECT e.* FROM e JOIN known k ON k.url = e.target) x ON x.url = f2.url QUALIFY row_number() OVER (PARTITION BY query_id, f2.url ORDER BY observed_at DESC, target) <= 3),
+linked AS (SELECT DISTINCT query_id, target AS url, 0.9::DOUBLE AS score FROM near QUALIFY dense_rank() OVER (PARTITION BY query_id ORDER BY target) <= 3),
+f3 AS (SELECT query_id, url, max(score) AS score FROM (SELECT * FROM f2 UNION ALL SELECT * FROM linked) GROUP BY 1, 2),
+hosts AS (SELECT DISTINCT query_id, {_HOSTOF} AS host FROM f3),
+latest AS (SELECT host, url, 0.78::DOUBLE + {_RECENCY} + greatest({_RATIO.format('stable_ratio')}, 0) * 0.05 + greatest({_RATIO.format('novelty_ratio')}, 0) * 0.05 + CASE WHEN proved THEN 0.06 ELSE 0 END AS score FROM known WHERE host IS NOT NULL QUALIFY row_number() OVER (PARTITION BY host ORDER BY observed_at DESC NULLS LAST, length(path), url) <= 3),
+hosted AS (SELECT query_id, url, score FROM hosts JOIN latest USING (host) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url) <= 3),
+f4 AS (SELECT query_id, url, round(max(score), 6) AS score FROM (SELECT * FROM f3 UNION ALL SELECT * FROM hosted) GROUP BY 1, 2)
+SELECT * FROM f4 WHERE score >= 0.15 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url) <= 5""",
     "j04_ancestor_roots": f"""
 WITH {_KNOWN}, a AS (SELECT DISTINCT doc_id AS query_id, {_HOSTOF} AS host, {_PARTS.format("regexp_extract(url, '(?i)^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1)")} AS parts FROM documents WHERE doc_id % 20 = 0),
 w AS (SELECT DISTINCT query_id, host, '/' || array_to_string(list_slice(parts, 1, i), '/') AS root_path FROM (SELECT *, unnest(range(1, len(parts))) AS i FROM a)),
