@@ -69,3 +69,12 @@ def test_vectors(spark):  # noqa: ANN001
     assert [value(spark, X.cosine(arr(1, 0), b)) for b in (arr(0, 0), arr(1), F.array().cast("array<double>"), lit(None).cast("array<double>"), arr(float("nan"), 1))] == [0.0] * 5
     rows = spark.createDataFrame([("a b a",), (None,), ("",)], "t string").select(X.embed("t").alias("v")).collect()
     assert max(rows[0].v) == 2.0 and sum(rows[0].v) == 3.0 and rows[1].v is None and sum(rows[2].v) == 0.0
+
+
+def test_families(spark):  # noqa: ANN001
+    """Public suffixes of one and of two labels, and those given."""
+    from tidegrain.functions import urls
+
+    hosts = {"www.mill.co.uk": "mill.co.uk", "a.b.mill.com.br": "mill.com.br", "co.uk": "co.uk", "docs.mill.example": "mill.example", "mill.example": "mill.example", "localhost": "localhost", "x.co.museum": "co.museum", "a.pages.dev": "a.pages.dev", "w.a.pages.dev": "a.pages.dev"}
+    rows = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", urls.family(F.col("h"), ("pages.dev",)).alias("f"))
+    assert {r.h: r.f for r in rows.collect()} == hosts

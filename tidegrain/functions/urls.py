@@ -44,10 +44,24 @@ def ancestors(of_path: Column) -> Column:
     return F.transform(upto, lambda i: F.concat(F.lit("/"), F.array_join(F.slice(p, F.lit(1), i), "/")))
 
 
-def family(of_host: Column) -> Column:
-    """The last two labels of a host, or all of a shorter one."""
+#: Labels (fixed values) that stand before a country's label in public suffixes.
+SECOND_LEVEL = "ac co com edu gob gouv gov govt go id ind info ltd me mil ne net nhs nic nom or org plc sch".split()
+
+
+def family(of_host: Column, suffixes: tuple[str, ...] = ()) -> Column:
+    """The registrable part of a host: its public suffix and one label more, or
+    all of a host that is no longer.
+
+    The public suffix is the longest of ``suffixes`` the host ends with, else a
+    second-level label before a country of two letters, else the last label.
+    """
     labels = F.split(of_host, r"\.")
-    return F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2)), ".")
+    second = F.coalesce(F.get(labels, F.size(labels) - 2).isin(SECOND_LEVEL) & (F.length(F.element_at(labels, -1)) == 2), F.lit(False))
+    kept = F.when(second, 3).otherwise(2)
+    for suffix in sorted(suffixes, key=lambda x: x.count(".")):
+        own = (of_host == suffix) | F.endswith(of_host, F.lit("." + suffix))
+        kept = F.when(own, suffix.count(".") + 2).otherwise(kept)
+    return F.array_join(F.slice(labels, F.greatest(F.size(labels) - kept + 1, F.lit(1)), kept), ".")
 
 
 def resource_class(of_path: Column) -> Column:

@@ -51,6 +51,14 @@ def delta(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return a.join(b, key, "full_outer").select(*key, status.alias("status"))
 
 
+def transitions(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows before and after each transition of numbered snapshots, under
+    the number of the later one."""
+    least, most = snapshots.agg(F.min("snapshot_no"), F.max("snapshot_no")).first()
+    old = snapshots.where(F.col("snapshot_no") < F.lit(most)).withColumn("snapshot_no", F.col("snapshot_no") + 1)
+    return old, snapshots.where(F.col("snapshot_no") > F.lit(least))
+
+
 def changed_values(old: DataFrame, new: DataFrame, key: list[str], value: str) -> DataFrame:
     """added, removed or changed for the keys whose value differs."""
     a = old.select(*key, F.col(value).alias("old_value"), F.lit(True).alias("_old"))

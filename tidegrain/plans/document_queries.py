@@ -256,17 +256,17 @@ def j07_agent_context(spark: SparkSession, root: str) -> DataFrame:
 
 
 def j08_fingerprint_delta(spark: SparkSession, root: str) -> DataFrame:
-    """Fingerprints retained, added and removed from snapshot 1 to 2, counted."""
+    """Fingerprints retained, added and removed by each snapshot, counted."""
     rows = table(spark, root, "fingerprint_records").select("snapshot_no", "document_id", F.lower(F.trim("fingerprint")).alias("fp"))
-    found = keyed.delta(rows.where("snapshot_no = 1"), rows.where("snapshot_no = 2"), ["document_id", "fp"])
-    return found.groupBy("document_id", "status").agg(F.count("*").alias("n"))
+    found = keyed.delta(*keyed.transitions(rows), ["snapshot_no", "document_id", "fp"])
+    return found.groupBy("snapshot_no", "document_id", "status").agg(F.count("*").alias("n"))
 
 
 def j09_title_changes(spark: SparkSession, root: str) -> DataFrame:
-    """Titles of addresses that differ from snapshot 1 to 2."""
+    """Titles of addresses that differ from the snapshot before."""
     rows = table(spark, root, "document_snapshots").select("snapshot_no", F.lower(F.trim("url")).alias("url"), "title", "updated_at", "delivered_at")
     last = keyed.newest(rows, ["snapshot_no", "url"], ["updated_at", "delivered_at", "title"])
-    return keyed.changed_values(last.where("snapshot_no = 1"), last.where("snapshot_no = 2"), ["url"], "title")
+    return keyed.changed_values(*keyed.transitions(last), ["snapshot_no", "url"], "title")
 
 
 def j06_scored_join(spark: SparkSession, root: str) -> DataFrame:

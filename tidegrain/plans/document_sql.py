@@ -49,7 +49,7 @@ def _path(u: str) -> str:
 
 
 _ALL = f"(SELECT DISTINCT url, {_host('url')} AS host, {_path('url')} AS path FROM documents)"
-_PARTS = f"""u AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts, array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 1, 1), len(string_split(host, '.'))), '.') AS family,
+_PARTS = f"""u AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts, array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 1 - regexp_matches(host, '\\.(ac|co|com|edu|gob|gouv|gov|govt|go|id|ind|info|ltd|me|mil|ne|net|nhs|nic|nom|or|org|plc|sch)\\.[^.]{{2}}$')::INTEGER, 1), len(string_split(host, '.'))), '.') AS family,
   lower(regexp_extract(path, '(\\.[^./]*)$', 1)) AS ext FROM {_ALL})"""
 _SEGMENT = "CASE WHEN regexp_matches(s, '^[0-9]+$') THEN -0.08 ELSE CASE WHEN strlen(s) >= 18 AND len(s) - len(replace(s, '-', '')) >= 2 THEN -0.08 ELSE 0 END + CASE WHEN strlen(s) >= 24 AND regexp_matches(s, '[A-Za-z]') AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '^[A-Za-z0-9._-]*$') THEN -0.12 ELSE 0 END + CASE WHEN contains(s, '.htm') THEN -0.04 ELSE 0 END END"
 _SCORED = f"""
@@ -101,7 +101,7 @@ SELECT findings, count(*) AS documents FROM f GROUP BY findings""",
     "v04_content_ids": "SELECT doc_id, 'doc_' || substr(sha256(coalesce(url, '') || chr(0) || coalesce(text, '')), 1, 16) AS content_id, 'mem_' || substr(sha256(trim(coalesce(url, '')) || '|' || trim(coalesce(title, ''))), 1, 16) AS piped_id FROM documents",
     "l12_url_parts": f"""
 WITH p AS (SELECT doc_id, url, {_host('url')} AS host, {_path('url')} AS path FROM documents)
-SELECT doc_id, host, path, len(list_filter(string_split(path, '/'), lambda x: x <> ''))::INTEGER AS depth, array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 1, 1), len(string_split(host, '.'))), '.') AS family,
+SELECT doc_id, host, path, len(list_filter(string_split(path, '/'), lambda x: x <> ''))::INTEGER AS depth, array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 1 - regexp_matches(host, '\\.(ac|co|com|edu|gob|gouv|gov|govt|go|id|ind|info|ltd|me|mil|ne|net|nhs|nic|nom|or|org|plc|sch)\\.[^.]{{2}}$')::INTEGER, 1), len(string_split(host, '.'))), '.') AS family,
   trim(regexp_replace(lower(host || ' ' || path), '[^a-z0-9]+', ' ', 'g')) AS tokens, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.-]*://', ''), '^www\\.', ''), '[?#].*$', ''), '/+$', '') AS canonical FROM p""",
     "l15_ancestors": f"WITH {_PARTS}, a AS (SELECT host, url, parts, unnest(range(1, len(parts) + 1)) AS i FROM u) SELECT host, '/' || array_to_string(list_slice(parts, 1, i), '/') AS root_path, count(DISTINCT url) AS support FROM a GROUP BY 1, 2",
     "d01_candidate_scores": _SCORED + "SELECT url, score, array_to_string(list_filter(['seed_fallback', CASE WHEN structure > 0 THEN 'structure_hint' END, CASE WHEN structure < 0 THEN 'structure_penalty' END, CASE WHEN kind > 0 THEN 'resource_class_hint' END, CASE WHEN kind < 0 THEN 'resource_class_penalty' END, CASE WHEN compact > 0 THEN 'host_compactness' END], lambda x: x IS NOT NULL), ',') AS reasons FROM c",
@@ -133,12 +133,13 @@ SELECT doc_id, to_json({_first_distinct('l')})::VARCHAR AS hints FROM h""",
     "j11_unfetched_documents": "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM raw_pages p WHERE p.url = d.url)",
     "j07_agent_context": f"SELECT c.chunk_no, c.chunk_id, d.url, coalesce(nullif(trim(d.title), ''), nullif(trim(d.url), '')) AS label, from_json(d.proof_refs_json, '[\"VARCHAR\"]')[1] AS proof_id, round(c.score, 6) AS score FROM {_ONCE} c LEFT JOIN documents d USING (doc_id)",
     "j08_fingerprint_delta": """
-WITH a AS (SELECT DISTINCT document_id, lower(trim(fingerprint)) AS fp FROM fingerprint_records WHERE snapshot_no = 1), b AS (SELECT DISTINCT document_id, lower(trim(fingerprint)) AS fp FROM fingerprint_records WHERE snapshot_no = 2)
-SELECT document_id, status, count(*) AS n FROM (SELECT document_id, CASE WHEN a.fp IS NULL THEN 'added' WHEN b.fp IS NULL THEN 'removed' ELSE 'retained' END AS status FROM (SELECT *, 1 AS x FROM a) a FULL JOIN (SELECT *, 1 AS y FROM b) b USING (document_id, fp)) GROUP BY 1, 2""".replace("a.fp IS NULL", "x IS NULL").replace("b.fp IS NULL", "y IS NULL"),
+WITH l AS (SELECT DISTINCT snapshot_no, document_id, lower(trim(fingerprint)) AS fp FROM fingerprint_records), n AS (SELECT max(snapshot_no) AS most, min(snapshot_no) AS least FROM l),
+a AS (SELECT snapshot_no + 1 AS snapshot_no, document_id, fp, 1 AS x FROM l WHERE snapshot_no < (SELECT most FROM n)), b AS (SELECT *, 1 AS y FROM l WHERE snapshot_no > (SELECT least FROM n))
+SELECT snapshot_no, document_id, CASE WHEN x IS NULL THEN 'added' WHEN y IS NULL THEN 'removed' ELSE 'retained' END AS status, count(*) AS n FROM a FULL JOIN b USING (snapshot_no, document_id, fp) GROUP BY 1, 2, 3""",
     "j09_title_changes": """
-WITH l AS (SELECT snapshot_no, lower(trim(url)) AS url, title FROM document_snapshots QUALIFY row_number() OVER (PARTITION BY snapshot_no, lower(trim(url)) ORDER BY updated_at DESC NULLS LAST, delivered_at DESC NULLS LAST, title DESC NULLS LAST) = 1),
-f AS (SELECT url, a.title AS old_value, b.title AS new_value, CASE WHEN x IS NULL THEN 'added' WHEN y IS NULL THEN 'removed' WHEN a.title IS DISTINCT FROM b.title THEN 'changed' END AS status
-  FROM (SELECT *, 1 AS x FROM l WHERE snapshot_no = 1) a FULL JOIN (SELECT *, 1 AS y FROM l WHERE snapshot_no = 2) b USING (url))
+WITH l AS (SELECT snapshot_no, lower(trim(url)) AS url, title FROM document_snapshots QUALIFY row_number() OVER (PARTITION BY snapshot_no, lower(trim(url)) ORDER BY updated_at DESC NULLS LAST, delivered_at DESC NULLS LAST, title DESC NULLS LAST) = 1), n AS (SELECT max(snapshot_no) AS most, min(snapshot_no) AS least FROM l),
+f AS (SELECT snapshot_no, url, a.title AS old_value, b.title AS new_value, CASE WHEN x IS NULL THEN 'added' WHEN y IS NULL THEN 'removed' WHEN a.title IS DISTINCT FROM b.title THEN 'changed' END AS status
+  FROM (SELECT snapshot_no + 1 AS snapshot_no, url, title, 1 AS x FROM l WHERE snapshot_no < (SELECT most FROM n)) a FULL JOIN (SELECT *, 1 AS y FROM l WHERE snapshot_no > (SELECT least FROM n)) b USING (snapshot_no, url))
 SELECT * FROM f WHERE status IS NOT NULL""",
     "j06_scored_join": _SCORED + ", o AS (SELECT doc_id, avg(score) AS s FROM (SELECT chunk_no, doc_id, score FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_no ORDER BY doc_id DESC, score DESC) = 1) GROUP BY doc_id) SELECT d.doc_id, round(0.35::DOUBLE + structure + kind + compact + 3 * coalesce(s, 0), 6) AS score FROM documents d JOIN c USING (url) LEFT JOIN o ON o.doc_id = d.doc_id",
     "e01_fidelity": """

@@ -159,12 +159,8 @@ def j13_expanded_hosts(spark: SparkSession, root: str) -> DataFrame:
     return found.select("place", "score", F.array_join("reasons", ",").alias("reasons"))
 
 
-def _strong_steps(spark: SparkSession, root: str) -> DataFrame:
-    return _host_steps(spark, root).where("count >= 4")
-
-
 def d19_reached_hosts(spark: SparkSession, root: str) -> DataFrame:
-    return graphs.reached(_strong_steps(spark, root), _seeds(spark, root), 3)
+    return graphs.reached(_host_steps(spark, root), _seeds(spark, root), 3)
 
 
 def a16_components(spark: SparkSession, root: str) -> DataFrame:
@@ -337,7 +333,7 @@ SELECT host, root_path, coalesce(nullif(trim(substr(trim(regexp_replace(s, '[\s\
     "j13_expanded_hosts": f"""
 WITH {_STEPS}, m AS (SELECT to_place AS place, count::DOUBLE AS score, 'outbound_transition' AS reason FROM edges WHERE from_place IN (SELECT place FROM seeds) UNION ALL SELECT from_place, count * 0.5::DOUBLE, 'inbound_transition' FROM edges WHERE to_place IN (SELECT place FROM seeds))
 SELECT place, sum(score) AS score, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM m WHERE place NOT IN (SELECT place FROM seeds) GROUP BY place ORDER BY 2 DESC, 1 LIMIT 20""",
-    "d19_reached_hosts": f"WITH RECURSIVE {_STEPS}, r AS (SELECT place, 0 AS depth FROM seeds UNION SELECT to_place, depth + 1 FROM r JOIN edges ON from_place = place WHERE depth < 3 AND count >= 4) SELECT place, min(depth)::INTEGER AS depth FROM r GROUP BY place",
+    "d19_reached_hosts": f"WITH RECURSIVE {_STEPS}, r AS (SELECT place, 0 AS depth FROM seeds UNION SELECT to_place, depth + 1 FROM r JOIN edges ON from_place = place WHERE depth < 3) SELECT place, min(depth)::INTEGER AS depth FROM r GROUP BY place",
     "a16_components": _COMPONENTS + "SELECT node, component FROM c WHERE node LIKE 'd%'",
     "a15_component_sizes": _COMPONENTS + ", s AS (SELECT component, count(*) AS members FROM c WHERE node LIKE 'd%' GROUP BY component) SELECT members, count(*) AS components FROM s GROUP BY members",
     "e05_same_address": "WITH c AS (SELECT regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.-]*://', ''), '^www\\.', ''), '[?#].*$', ''), '/+$', '') AS a, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(final_url)), '^[a-z][a-z0-9+.-]*://', ''), '^www\\.', ''), '[?#].*$', ''), '/+$', '') AS b FROM documents) SELECT a = b AS same, count(*) AS documents FROM c GROUP BY 1",

@@ -15,11 +15,17 @@ from tidegrain.sources import search
 from tidegrain.sources.tables import table
 
 
+def _last_prints(spark: SparkSession, root: str) -> DataFrame:
+    """The fingerprints of the last snapshot."""
+    rows = table(spark, root, "fingerprint_records")
+    return rows.where(F.col("snapshot_no") == F.lit(rows.agg(F.max("snapshot_no")).first()[0]))
+
+
 def _ranked(spark: SparkSession, root: str) -> DataFrame:
     """Ranked chunks; stable ones have a fingerprint of the last snapshot."""
     rows = ranking.ranked(ranked_chunk_rows(spark, root), "doc_id").select("doc_id", "chunk_no", "text", "heading_path", "rank")
     prints = table(spark, root, "chunks").groupBy("chunk_no").agg(F.max(F.lower(F.trim("fingerprint"))).alias("fp"))
-    last = table(spark, root, "fingerprint_records").where("snapshot_no = 4").groupBy(F.col("document_id").alias("doc_id"), F.lower(F.trim("fingerprint")).alias("fp")).agg(F.min("saved_at").alias("saved"))
+    last = _last_prints(spark, root).groupBy(F.col("document_id").alias("doc_id"), F.lower(F.trim("fingerprint")).alias("fp")).agg(F.min("saved_at").alias("saved"))
     joined = rows.join(prints, "chunk_no", "left").join(last, ["doc_id", "fp"], "left")
     return joined.select("doc_id", "chunk_no", "text", "heading_path", "rank", F.col("saved").isNotNull().alias("stable"), F.coalesce(F.unix_micros(F.col("saved").cast("timestamp")), F.lit(0)).alias("stable_order"))
 
@@ -36,7 +42,7 @@ def pack02_evidence(spark: SparkSession, root: str) -> DataFrame:
 def pack10_novelty(spark: SparkSession, root: str) -> DataFrame:
     rows = ranking.ranked(ranked_chunk_rows(spark, root), "doc_id").select("doc_id", "chunk_no", "score")
     prints = table(spark, root, "chunks").groupBy("chunk_no").agg(F.max(F.lower(F.trim("fingerprint"))).alias("fingerprint"))
-    stable = table(spark, root, "fingerprint_records").where("snapshot_no = 4").select(F.col("document_id").alias("doc_id"), F.lower(F.trim("fingerprint")).alias("fingerprint"))
+    stable = _last_prints(spark, root).select(F.col("document_id").alias("doc_id"), F.lower(F.trim("fingerprint")).alias("fingerprint"))
     found = ranking.novelty_biased(rows.join(prints, "chunk_no"), stable, "doc_id")
     return found.select("chunk_no", F.round("score", 6).alias("score"), "stable")
 
@@ -179,7 +185,7 @@ QUERIES = {
     )
 }
 
-_STABLE = """, fp AS (SELECT chunk_no, max(lower(trim(fingerprint))) AS fp FROM chunks GROUP BY chunk_no), last4 AS (SELECT DISTINCT document_id AS doc_id, lower(trim(fingerprint)) AS fp FROM fingerprint_records WHERE snapshot_no = 4),
+_STABLE = """, fp AS (SELECT chunk_no, max(lower(trim(fingerprint))) AS fp FROM chunks GROUP BY chunk_no), last4 AS (SELECT DISTINCT document_id AS doc_id, lower(trim(fingerprint)) AS fp FROM fingerprint_records WHERE snapshot_no = (SELECT max(snapshot_no) FROM fingerprint_records)),
 g AS (SELECT r.*, l.fp IS NOT NULL AS stable FROM ranked r LEFT JOIN fp USING (chunk_no) LEFT JOIN last4 l ON l.doc_id = r.doc_id AND l.fp = fp.fp)"""
 
 SQL = {
