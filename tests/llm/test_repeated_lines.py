@@ -63,3 +63,17 @@ def test_beyond_the_broadcast_bound(spark, monkeypatch):  # noqa: ANN001
 def test_empty(spark):  # noqa: ANN001
     a, b = frames(spark, [], [])
     assert L.found_lines(a, b).collect() == [] == L.clean_chunks(a, b).collect()
+
+
+def test_summaries_of_days_merge(spark):  # noqa: ANN001
+    """Days of different sizes, folded to the narrowest, miss no line."""
+    from pyspark.sql import functions as F
+
+    documents = spark.createDataFrame([(i, "h.example") for i in range(300)], "doc_id long, host string")
+    chunks = spark.createDataFrame([(i, i, f"again\nonly {chr(97 + i % 26)} {chr(97 + i // 26)}\n" + ("few" if i in (1, 150, 299) else "")) for i in range(300)], "chunk_no long, doc_id long, text string")
+    lines = L.split_lines(chunks, documents)
+    days = [L.summaries(lines.where(F.col("doc_id").between(*d))) for d in ((0, 4), (5, 60), (61, 299))]
+    summary = L.merged(days[0].unionByName(days[1]).unionByName(days[2]))
+    assert summary.agg(F.sum("n"), F.count_distinct("width")).first() == (603, 1)
+    rows = lambda s: sorted(tuple(r) for r in L.repeated_lines(lines, 5, s).collect())
+    assert rows(summary) == rows(None) and len(rows(None)) == 1

@@ -1,9 +1,10 @@
 """Lines that the documents of one source repeat excessively.
 
 First pass: every source gets a mergeable summary of counters (one Count-Min
-row whose width follows the source's own number of lines); summaries of
-partitions or days merge by addition.  A counter never falls below the count of
-any line in it, so a line that is repeated often enough is always among the
+row whose width, a power of two, follows the source's own number of lines).
+Summaries of partitions or days merge: the wider one is folded to the width of
+the narrower one, and counters are added.  A counter never falls below the count
+of any line in it, so a line that is repeated often enough is always among the
 candidates.  Second pass: exact counts of distinct documents for the candidate
 lines only.  The confirmed lines are then removed from each text.
 """
@@ -17,7 +18,7 @@ from tidegrain.runtime import join_small, stage
 
 #: Documents of a source in which a line has to occur to be excessive.
 MIN_DOCUMENTS = 5
-#: Counters per line occurrence of a source: the summary is this share of it.
+#: Counters per line occurrence of a source, at least, and at most twice that.
 WIDTH_SHARE = 0.5
 
 
@@ -45,26 +46,39 @@ def split_lines(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return lines.join(hosts, "doc_id")
 
 
+def _cell(width: str) -> Column:
+    return F.col("h1").bitwiseAND(F.col(width) - 1)
+
+
 def summaries(lines: DataFrame) -> DataFrame:
     """The mergeable summary of each source: (source, width, cell, n)."""
     sizes = lines.groupBy("source").agg(F.count("*").alias("total"))
-    width = F.greatest(F.lit(16), F.ceil(F.col("total") * F.lit(WIDTH_SHARE))).cast("long")
+    width = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(16.0), F.col("total") * WIDTH_SHARE)))).cast("long")
     sizes = stage(sizes.select("source", width.alias("width")))
     keyed = join_small(lines.select("source", "h1"), sizes, ["source"])
-    return keyed.groupBy("source", "width", F.pmod("h1", "width").alias("cell")).agg(F.count("*").alias("n"))
+    return keyed.groupBy("source", "width", _cell("width").alias("cell")).agg(F.count("*").alias("n"))
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """Summaries of several partitions or days, one below the other, as one: a
+    source has the width of its narrowest part."""
+    narrow = stage(parts.groupBy("source").agg(F.min("width").alias("to")))
+    folded = join_small(parts, narrow, ["source"])
+    return folded.groupBy("source", F.col("to").alias("width"), F.col("cell").bitwiseAND(F.col("to") - 1).alias("cell")).agg(F.sum("n").alias("n"))
 
 
-def repeated_lines(lines: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+def repeated_lines(lines: DataFrame, min_documents: int = MIN_DOCUMENTS, summary: DataFrame | None = None) -> DataFrame:
     """(source, h1, h2) of the lines in at least ``min_documents`` documents.
+    ``summary``: that of the lines, if it is there, as ``merged`` gives it.
 
     A third of all rows in one source, or one line in all its documents, is
     spread over many tasks: counters are keyed by source and cell, and distinct
     documents are made by (source, line, document) before they are counted.
     """
-    heavy = stage(summaries(lines).where(F.col("n") >= min_documents).select("source", "width", "cell"))
+    heavy = stage((summaries(lines) if summary is None else summary).where(F.col("n") >= min_documents).select("source", "width", "cell"))
     widths = stage(heavy.select("source", "width").distinct())
     candidates = join_small(lines.select("source", "h1", "h2", "doc_id"), widths, ["source"])
-    candidates = candidates.withColumn("cell", F.pmod("h1", "width"))
+    candidates = candidates.withColumn("cell", _cell("width"))
     candidates = join_small(candidates, heavy, ["source", "width", "cell"], "left_semi")
     documents = candidates.groupBy("source", "h1", "h2", "doc_id").agg(F.lit(1).alias("_"))
     return documents.groupBy("source", "h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents).select("source", "h1", "h2")
