@@ -23,6 +23,27 @@ def fields(text: Column) -> Column:
     return F.filter(F.split(one_line(text), " "), lambda x: x != "")
 
 
+def word_count(text: Column) -> Column:
+    """Number of ``fields``, without making them."""
+    return F.regexp_count(text, F.lit(r"(?U)\S+"))
+
+
+def word_bytes(text: Column) -> Column:
+    """Mean bytes of ``fields``, 0 if there are none."""
+    n = word_count(text)
+    return F.when(n > 0, F.octet_length(F.regexp_replace(text, r"(?U)\s+", "")) / n).otherwise(0.0)
+
+
+def line_count(text: Column) -> Column:
+    """Number of ``lines``, without making them."""
+    return F.regexp_count(text, F.lit(r"(?U)\S[^\n]*"))
+
+
+def sentence_count(text: Column) -> Column:
+    """Number of ``sentences``, without making them."""
+    return F.regexp_count(text, F.lit(r"(?U)[^\s.!?][^.!?]*"))
+
+
 def marks(text: Column) -> Column:
     """Number of the marks . ! ? ; : in a text."""
     return F.octet_length(text) - F.octet_length(F.translate(text, ".!?;:", ""))
@@ -54,11 +75,16 @@ def all_upper(word: Column) -> Column:
     return word.rlike("[A-Z]") & ~word.rlike("[a-z]")
 
 
+_ENDS = r"\[\](){}<>\"'`,"
+
+
 def title_like_share(text: Column) -> Column:
     """Share of words of two characters or more that begin in upper case or are
-    all upper case, signs at their ends left out."""
-    bare = F.transform(fields(text), lambda w: trimmed_of(w, r"\[\](){}<>\"'`,"))
-    return share(bare, lambda w: (F.length(w) > 1) & (w.rlike("^[A-Z]") | all_upper(w)))
+    all upper case, signs at their ends left out; one pass over the text."""
+    two = rf"(?=[{_ENDS}]*+[^ {_ENDS}][^ ]*[^ {_ENDS}])"
+    like = F.regexp_count(one_line(text), F.lit(rf"(?<![^ ]){two}(?:[{_ENDS}]*+[A-Z]|[^ a-z]*[A-Z][^ a-z]*(?![^ ]))"))
+    n = word_count(text)
+    return F.when(n > 0, like / n).otherwise(0.0)
 
 
 def identifier_line(line: Column) -> Column:
@@ -84,7 +110,7 @@ def alnum_only(text: Column) -> Column:
 
 def long_tokens(text: Column) -> Column:
     """Distinct words of three letters or more of ``alnum_only``, in order."""
-    return F.array_distinct(F.filter(F.split(alnum_only(text), " "), lambda w: F.length(w) >= 3))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]{3,})")))
 
 
 def covered(text: Column, terms: Column) -> Column:

@@ -26,8 +26,8 @@ def _texts(spark: SparkSession, root: str) -> DataFrame:
 def l01_text_measures(spark: SparkSession, root: str) -> DataFrame:
     t = F.col("text")
     return _texts(spark, root).select(
-        "doc_id", F.octet_length(t).alias("bytes"), F.length(t).alias("chars"), T.marks(t).alias("marks"), F.size(T.fields(t)).alias("words"), F.size(T.lines(t)).alias("lines"), F.size(T.sentences(t)).alias("sentences"),
-        F.round(T.mean_length(T.fields(t), F.octet_length), 6).alias("word_bytes"), F.round(T.title_like_share(t), 6).alias("title_like"), F.size(T.long_tokens(t)).alias("long_tokens"),
+        "doc_id", F.octet_length(t).alias("bytes"), F.length(t).alias("chars"), T.marks(t).alias("marks"), T.word_count(t).alias("words"), T.line_count(t).alias("lines"), T.sentence_count(t).alias("sentences"),
+        F.round(T.word_bytes(t), 6).alias("word_bytes"), F.round(T.title_like_share(t), 6).alias("title_like"), F.size(T.long_tokens(t)).alias("long_tokens"),
     )
 
 
