@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import pytest
 
 from tidegrain.operators import pages as P
@@ -64,3 +66,30 @@ def test_tables(spark):  # noqa: ANN001
     assert P.nodes(frame.limit(0)).collect() == [] == P.page_links(frame.limit(0)).collect()
     one = P.signals(P.nodes(frame)).collect()[0]
     assert one.node_count == 12 and abs(one.heading_ratio - 1 / 12) < 1e-9
+
+
+def test_pages_that_are_not_html(spark):  # noqa: ANN001
+    """Text by blank lines, code by lines, by content type and extension."""
+    from tidegrain.operators import packets, pages
+
+    code = "\n".join(f"line_{i} = {i}" for i in range(70))
+    rows = [
+        (1, "http://a.example/notes.txt", "One  para.\n\n\n\nTwo <b>stays</b>.", "text/plain"), (2, "http://a.example/src/x.py?raw=1", code, "text/plain; charset=utf-8"), (3, "http://a.example/", "  ", "text/plain"),
+        (4, "http://a.example/p", "<title>T</title><p>Shown here.</p>", None), (5, "http://a.example/q", "<p>Shown.</p>", "application/xhtml+xml"),
+    ]
+    raw = spark.createDataFrame(rows, "page_no long, url string, html string, content_type string")
+    found = {(r.page_no, r.pos): (r.path, r.kind, r.text) for r in pages.nodes(raw).collect()}
+    assert found[1, 0] == ("/p[1]", "paragraph", "One para.") and found[1, 1] == ("/p[2]", "paragraph", "Two <b>stays</b>.")
+    assert [found[2, i][2].count("\n") for i in range(3)] == [31, 31, 5] and found[2, 2][:2] == ("/pre[3]", "code")
+    assert found[4, 0][2] == "Shown here." and (3, 0) not in found
+    assert {r.page_no: r.title for r in packets.packets(raw).collect()} == {1: "notes.txt", 2: "x.py", 3: "a.example", 4: "T", 5: ""}
+    assert [r[0] for r in raw.select(pages.substrate(F.col("html"), F.col("content_type"))).collect()] == ["plain_text"] * 3 + ["generic_content"] * 2
+
+
+def test_payload_is_kept_in_packets(spark):  # noqa: ANN001
+    """The selection of a page with payload has one of its rows."""
+    from tidegrain.operators import ranking
+
+    rows = [(1, i, f"text {i} " * 9, i == 9, False, True, 1, 0.0, 0.0) for i in range(1, 10)]
+    ranked = spark.createDataFrame(rows, "page_no long, rank int, text string, embedded boolean, heading_backed boolean, kind_match boolean, embedded_count long, heading_ratio double, short_text_ratio double")
+    assert sorted(r["rank"] for r in ranking.policy_selected(ranked, "page_no", 4).collect()) == [1, 2, 3, 9]

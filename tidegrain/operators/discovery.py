@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegrain.functions import urls
 from tidegrain.functions.values import findings, given
+from tidegrain.functions.vectors import cosine, embed
 
 
 def candidate_score(url: Column, hints: Column | None = None) -> Column:
@@ -68,3 +69,70 @@ def margins(candidates: DataFrame, group: str) -> DataFrame:
     best = two.groupBy(group).agg(F.max(F.when(F.col("rn") == 1, F.col("url"))).alias("leader"), F.max(F.when(F.col("rn") == 1, F.col("score"))).alias("top"), F.max(F.when(F.col("rn") == 2, F.col("score"))).alias("second"))
     margin = F.col("top") - F.coalesce("second", F.lit(0.0))
     return best.select(group, "leader", F.round(margin, 6).alias("margin"), (margin <= 0.25).alias("ambiguous"))
+
+
+def disambiguated(candidates: DataFrame, goals: DataFrame) -> DataFrame:
+    """Candidates of each query with .90 of how like its goal their family is,
+    where two families or more are left and the best two candidates are within
+    .25 of each other.
+
+    ``candidates``: query_id, url, label, score; ``goals``: query_id, goal.  The
+    text of a family is that of its first three candidates: label, words of the
+    host and the family.  Queries with a blank goal keep their scores.
+    """
+    own = candidates.withColumn("family", F.coalesce(urls.family(urls.host(F.col("url"))), F.trim("url")))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "url")
+    within = Window.partitionBy("query_id", "family").orderBy(F.desc("score"), "url")
+    placed = own.withColumn("place", F.row_number().over(order)).withColumn("member", F.row_number().over(within))
+    words = F.concat_ws(" ", "label", F.translate(urls.host(F.col("url")), ".-", "  "), "family")
+    texts = placed.where("member <= 3").groupBy("query_id", "family").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("member", words.alias("text")))), lambda x: x["text"]), " ").alias("text"))
+    state = placed.groupBy("query_id").agg(F.count_distinct("family").alias("families"), F.max(F.when(F.col("place") == 1, F.col("score"))).alias("top"), F.max(F.when(F.col("place") == 2, F.col("score"))).alias("second"))
+    open_ = state.where("families >= 2 AND top - second <= 0.25").join(goals.where("trim(goal) != ''").select("query_id", "goal"), "query_id").select("query_id", "goal")
+    alike = texts.join(open_, "query_id").select("query_id", "family", F.greatest(cosine(embed(F.lower("text")), embed(F.lower("goal"))), F.lit(0.0)).alias("alike"))
+    joined = own.join(alike, ["query_id", "family"], "left")
+    return joined.select(*candidates.columns, "family", (F.col("score") + 0.90 * F.coalesce("alike", F.lit(0.0))).alias("disambiguated"))
+
+
+def literal_candidates(texts: DataFrame) -> DataFrame:
+    """Addresses that stand in the texts of a page: (page_no, source, url,
+    score, rank), two a page at most.
+
+    ``texts``: page_no, url, pos, text.  Of the first four distinct addresses of
+    the page's own family; media assets of HTML pages are left out.  Scored as
+    candidates with 1.10 more, and .12 for paths of three parts or more.
+    """
+    found = texts.select("page_no", F.col("url").alias("source"), "pos", F.posexplode(F.regexp_extract_all("text", F.lit(r"https?://[^\s\"'<>()]+"), F.lit(0))).alias("nth", "url"))
+    found = found.withColumn("url", F.regexp_replace("url", r"[.,;:!?]+$", ""))
+    family = lambda c: urls.family(urls.host(F.col(c)))
+    same = found.where((family("url") == family("source")) & (F.col("url") != "")).groupBy("page_no", "source", "url").agg(F.min(F.struct("pos", "nth")).alias("at"))
+    first = same.withColumn("seen", F.row_number().over(Window.partitionBy("page_no").orderBy("at", "url"))).where("seen <= 4")
+    kind = lambda c: urls.resource_class(urls.path(F.col(c)))
+    kept = first.where(~((kind("source") == "html_like") & (kind("url") == "media_asset")))
+    score = candidate_score(F.col("url")) + 1.10 + given(urls.depth(urls.path(F.col("url"))) >= 3, 0.12)
+    ranked = kept.withColumn("score", score).withColumn("rank", F.row_number().over(Window.partitionBy("page_no").orderBy(F.desc("score"), "url")))
+    return ranked.where("rank <= 2").select("page_no", "source", "url", "score", "rank")
+
+
+def merged(found: DataFrame) -> DataFrame:
+    """What providers found, each address of a query once: the best score, its
+    label, and who found it.  ``found``: query_id, provider, url, label, score."""
+    best = F.max(F.struct("score", "label")).alias("b")
+    return found.where("trim(url) != ''").groupBy("query_id", "url").agg(best, F.array_sort(F.collect_set("provider")).alias("providers")).select("query_id", "url", "b.label", "b.score", "providers")
+
+
+def web_discovery(found: DataFrame, goals: DataFrame, limit: int = 5) -> DataFrame:
+    """(query_id, rank, url, label, providers, score): the best ``limit`` of all
+    that providers found for all queries of a goal.
+
+    Merged by address, reranked by how like the goal label and address are,
+    shallower ones of a family preferred, one a family, then disambiguated.
+    """
+    once = merged(found).join(goals.select("query_id", "goal"), "query_id")
+    text = F.lower(F.concat_ws(" ", "label", urls.token_text(F.col("url"))))
+    scored = once.withColumn("score", F.col("score") + 3 * F.greatest(cosine(embed(text), embed(F.lower("goal"))), F.lit(0.0)) + F.when(urls.depth(urls.path(F.col("url"))) == 0, 0.18).otherwise(0.0))
+    family = F.coalesce(urls.family(urls.host(F.col("url"))), F.trim("url"))
+    first = scored.withColumn("rn", F.row_number().over(Window.partitionBy("query_id", family).orderBy(F.desc("score"), "url"))).where("rn = 1")
+    few = first.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "url"))).where(F.col("rn") <= limit)
+    asked = disambiguated(few.select("query_id", "url", "label", "score", "providers"), goals)
+    order = Window.partitionBy("query_id").orderBy(F.desc("disambiguated"), "url")
+    return asked.select("query_id", F.row_number().over(order).alias("rank"), "url", "label", "providers", F.round("disambiguated", 6).alias("score"))

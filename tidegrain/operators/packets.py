@@ -34,7 +34,9 @@ def packets(pages: DataFrame, profile: str = "standard", alignment: Column | Non
     """One packet per page: its best segments with proof, outline, summary and
     what speaks against them."""
     ranked = ranked_segments(pages, profile, alignment).withColumn("stable", F.lit(False))
-    chosen = R.deduplicated(R.selected(ranked, profile), "page_no") if profile == "tiny" else R.selected(ranked, profile)
+    limit = R.PROFILE_LIMITS[profile]
+    chosen = ranked if limit is None else R.policy_selected(ranked, "page_no", limit, profile)
+    chosen = R.deduplicated(chosen, "page_no") if profile == "tiny" else chosen
     unclear = R.ambiguity()
     marked = chosen.withColumn("ambiguity", unclear).withColumn("lane", R.lane(F.col("ambiguity"), profile)).withColumn("flags", R.risk_flags(F.col("ambiguity")))
     marked = marked.withColumn("proof", proof(F.col("chunk_id"), F.col("node_paths"), F.col("text")))

@@ -206,11 +206,11 @@ def deduplicated(rows: DataFrame, group: str) -> DataFrame:
     return map_groups(rows, group, run, columns_of(rows))
 
 
-def policy_selected(candidates: DataFrame, group: str, limit: int = 6) -> DataFrame:
+def policy_selected(candidates: DataFrame, group: str, limit: int = 6, profile: str = "standard") -> DataFrame:
     """The first ``limit`` of each group, where the last without it gives way to
     the best embedded row (pages with payload), the best heading-backed row
     (heading_ratio .15 or more) and a weak row to a stronger one (short_ratio
-    .80 or more).  Needs the page's signals as columns."""
+    .80 or more, not in the deep profile).  Needs the page's signals as columns."""
 
     def run(page: list[dict]) -> list[dict]:
         rows = sorted(page, key=lambda r: r["rank"])
@@ -228,7 +228,7 @@ def policy_selected(candidates: DataFrame, group: str, limit: int = 6) -> DataFr
             swap("embedded")
         if rows and rows[0]["heading_ratio"] >= 0.15:
             swap("heading_backed")
-        if rows and rows[0]["short_text_ratio"] >= 0.80:
+        if rows and rows[0]["short_text_ratio"] >= 0.80 and profile != "deep":
             weak = next((i for i in range(len(chosen) - 1, -1, -1) if len((chosen[i]["text"] or "").strip().encode()) < 40 and not (chosen[i]["heading_backed"] or chosen[i]["embedded"] or chosen[i]["kind_match"])), None)
             strong = next((r for r in rest if r["heading_backed"] or r["embedded"] or r["kind_match"] or len((r["text"] or "").strip().encode()) >= 80), None)
             if weak is not None and strong is not None:

@@ -12,7 +12,7 @@ from tidegrain.sources.tables import table
 
 
 def _pages(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "raw_pages").select("page_no", "url", "html")
+    return table(spark, root, "raw_pages").select("page_no", "url", "html", "content_type")
 
 
 def h01_unpruned_nodes(spark: SparkSession, root: str) -> DataFrame:
@@ -35,7 +35,7 @@ def h08_titles(spark: SparkSession, root: str) -> DataFrame:
 
 
 def h13_substrates(spark: SparkSession, root: str) -> DataFrame:
-    return _pages(spark, root).where("html IS NOT NULL").select("page_no", pages.substrate(F.col("html")).alias("substrate")).distinct()
+    return _pages(spark, root).where("html IS NOT NULL").select("page_no", pages.substrate(F.col("html"), F.col("content_type")).alias("substrate")).distinct()
 
 
 def h16_signals(spark: SparkSession, root: str) -> DataFrame:
@@ -232,7 +232,7 @@ _LANE = "CASE WHEN ambiguity >= 0.85 OR (1 - alignment >= 0.90 AND confidence <
 SQL = {
     "h01_unpruned_nodes": rf"SELECT DISTINCT page_no, pos, path, tag, CASE WHEN tag IN ('p', 'blockquote') THEN 'paragraph' WHEN tag = 'li' THEN 'list_item' WHEN tag IN ('td', 'th') THEN 'table_cell' WHEN tag IN ('pre', 'code') THEN 'code' ELSE 'heading' END AS kind, trim(regexp_replace(text, '{_WS}', ' ', 'g')) AS text, depth, heading_level FROM simplified_nodes",
     "h08_titles": rf"SELECT DISTINCT page_no, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '{_WS}', ' ', 'g')) AS title FROM raw_pages WHERE html IS NOT NULL",
-    "h13_substrates": "SELECT DISTINCT page_no, CASE WHEN regexp_matches(lower(html), 'window\\._a2s|__next_data__|__nuxt__|__apollo_state__|<app-root|data-reactroot') THEN 'embedded_app_payload' WHEN regexp_matches(lower(html), 'wp-content|wp-json|wp-includes|et_pb|elementor|swiper|gsap') THEN 'theme_heavy_wordpress' ELSE 'generic_content' END AS substrate FROM raw_pages WHERE html IS NOT NULL",
+    "h13_substrates": "SELECT DISTINCT page_no, CASE WHEN NOT (coalesce(trim(content_type), '') = '' OR regexp_matches(lower(content_type), 'text/html|application/xhtml\\+xml')) THEN 'plain_text' WHEN regexp_matches(lower(html), 'window\\._a2s|__next_data__|__nuxt__|__apollo_state__|<app-root|data-reactroot') THEN 'embedded_app_payload' WHEN regexp_matches(lower(html), 'wp-content|wp-json|wp-includes|et_pb|elementor|swiper|gsap') THEN 'theme_heavy_wordpress' ELSE 'generic_content' END AS substrate FROM raw_pages WHERE html IS NOT NULL",
     "h16_signals": "WITH o AS (SELECT page_no, pos, max(text) AS text, max(kind) AS kind, max(path) AS path FROM simplified_nodes GROUP BY page_no, pos) SELECT page_no, count(*) AS node_count, round(avg((strlen(trim(text)) < 48)::INT), 6) AS short_text_ratio, round(avg((kind = 'heading')::INT), 6) AS heading_ratio, count(*) FILTER (path LIKE '/embedded/%') AS embedded_count FROM o WHERE trim(text) <> '' GROUP BY page_no",
     "h17_links": rf"""
 WITH p AS (SELECT DISTINCT page_no, url, html FROM raw_pages WHERE html IS NOT NULL),

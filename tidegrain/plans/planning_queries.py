@@ -9,8 +9,9 @@ from tidegrain import engine
 from tidegrain.functions import text as T
 from tidegrain.functions import urls
 from tidegrain.functions.vectors import embed
-from tidegrain.operators import keyed, packets, pages, ranking, retrieval, selection
+from tidegrain.operators import discovery, keyed, packets, pages, ranking, retrieval, selection
 from tidegrain.plans.page_queries import _RANKED, ranked_chunk_rows
+from tidegrain.runtime import stage
 from tidegrain.sources import search
 from tidegrain.sources.tables import table
 
@@ -131,6 +132,37 @@ def d14_local_candidates(spark: SparkSession, root: str) -> DataFrame:
     return keyed.newest(scored, ["query_id"], ["score", "url"], 5).select("query_id", "url", "score")
 
 
+def _memory_hits(spark: SparkSession, root: str, k: int) -> DataFrame:
+    """(query_id, url, label): the known addresses most like each goal."""
+    known = table(spark, root, "documents").groupBy("url").agg(F.max("title").alias("label"))
+    stored = known.select("url", "label", F.xxhash64("url").alias("vec_id"), embed(F.lower(F.concat_ws(" ", "label", urls.token_text(F.col("url"))))).alias("vector"), F.lit(0.0).alias("bonus"))
+    asked = _goals(spark, root).select("query_id", embed(F.lower("goal")).alias("query_vector"))
+    return retrieval.best_scored(asked, stored, k).join(stored.select("vec_id", "url", "label"), "vec_id").select("query_id", "url", "label")
+
+
+def _page_texts(spark: SparkSession, root: str) -> DataFrame:
+    raw = table(spark, root, "raw_pages").select("page_no", "url", "html", "content_type")
+    nodes = pages.nodes(raw).dropDuplicates(["page_no", "pos"])
+    return nodes.select("page_no", "pos", "text").join(raw.select("page_no", "url").distinct(), "page_no")
+
+
+def d06_web_discovery(spark: SparkSession, root: str) -> DataFrame:
+    """Candidates of three providers over the collection, composed: memory,
+    links of the pages it knows, and addresses in their texts."""
+    hits = stage(_memory_hits(spark, root, 10))
+    links = pages.page_links(table(spark, root, "raw_pages").select("page_no", "url", "html")).groupBy("url", F.col("target")).agg(F.max("label").alias("text"))
+    linked = hits.select("query_id", "url").join(links, "url").select("query_id", F.lit("links").alias("provider"), F.col("target").alias("url"), F.col("text").alias("label"))
+    literal = discovery.literal_candidates(_page_texts(spark, root)).select("source", F.col("url").alias("target"))
+    said = hits.join(literal, F.col("url") == F.col("source")).select("query_id", F.lit("literal").alias("provider"), F.col("target").alias("url"), "label")
+    found = hits.select("query_id", F.lit("memory").alias("provider"), "url", "label").unionByName(linked).unionByName(said)
+    found = found.withColumn("score", discovery.candidate_score(F.col("url")))
+    return discovery.web_discovery(found, _goals(spark, root)).withColumn("providers", F.array_join("providers", ","))
+
+
+def d12_literal_candidates(spark: SparkSession, root: str) -> DataFrame:
+    return discovery.literal_candidates(_page_texts(spark, root)).select("page_no", "url", F.round("score", 6).alias("score"), "rank")
+
+
 def d21_rewrites(spark: SparkSession, root: str) -> DataFrame:
     """Queries to ask for a document: its title, its summary's head, its words."""
     lines = F.concat_ws("\n", "title", T.head(F.col("semantic_summary"), 60), urls.token_text(F.col("url")))
@@ -180,7 +212,7 @@ def l18_vector_bytes(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        d05_same_site, d07_probed, d14_local_candidates, d17_observed, d21_rewrites, d22_prepared, d24_decisions, d25_run_records, j14_regressions, l18_vector_bytes, pack02_evidence, pack10_novelty, pack14_stable_gate, pack15_partly_reused,
+        d05_same_site, d06_web_discovery, d12_literal_candidates, d07_probed, d14_local_candidates, d17_observed, d21_rewrites, d22_prepared, d24_decisions, d25_run_records, j14_regressions, l18_vector_bytes, pack02_evidence, pack10_novelty, pack14_stable_gate, pack15_partly_reused,
         pack26_patches, pack28_compacted, s12_provider_names, u04_missing_stages, v02_table_digests,
     )
 }

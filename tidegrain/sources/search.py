@@ -39,7 +39,7 @@ def result_anchors(page: str, base: str) -> list[tuple[str, str]]:
 
 def result_pages(pages: DataFrame) -> DataFrame:
     """(page_no, url, target, label) of the results on each page."""
-    return per_page(pages, lambda p, u, h: [(p, u, *x) for x in result_anchors(h, u)], "page_no long, url string, target string, label string").distinct()
+    return per_page(pages, lambda p, u, h, _: [(p, u, *x) for x in result_anchors(h, u)], "page_no long, url string, target string, label string").distinct()
 
 
 def api_results(answers: DataFrame) -> DataFrame:
