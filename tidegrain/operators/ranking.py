@@ -160,6 +160,42 @@ def risk_flags(unclear: Column) -> Column:
     )
 
 
+#: Flags (fixed values) that never let a row settle a group, and that make a row
+#: unclear.
+STRICT_RISK = ["high_ambiguity", "coverage_gap"]
+UNCLEAR_FLAGS = ["high_ambiguity", "coverage_gap", "short_text", "low_confidence"]
+
+
+def ambiguity_routes(rows: DataFrame, group: str, substrate: Column | None = None) -> DataFrame:
+    """The rows of each group that a further look is asked for, of groups that
+    need one.
+
+    ``rows``: the group, rank, score, confidence, heading_path, kind_match,
+    heading_backed, embedded, lane and flags; ``substrate`` is what the page is
+    built with.  A group needs no look if its first row stands out (anchor or
+    dominance), if one row is sure enough, if it carries a payload, or if fewer
+    than two rows are unclear.
+    """
+    built = F.lit("generic_content") if substrate is None else substrate
+    evident = F.col("heading_backed") | F.col("kind_match") | F.col("embedded") | (F.size("heading_path") > 0)
+    strict = F.arrays_overlap("flags", F.array(*(F.lit(x) for x in STRICT_RISK)))
+    known = rows.withColumn("_strict", strict).withColumn("_evident", evident).withColumn("_theme", built == "theme_heavy_wordpress").withColumn("_payload", built == "embedded_app_payload")
+    whole = Window.partitionBy(group)
+    first = lambda c: F.max(F.when(F.col("rank") == 1, F.col(c))).over(whole)
+    any_of = lambda c: F.coalesce(F.max(c).over(whole), F.lit(False))
+    rest, score, confidence = F.col("rank") > 1, F.col("score"), F.col("confidence")
+    known = known.withColumn("_top", first("score")).withColumn("_sure", first("confidence")).withColumn("_many", F.count("*").over(whole))
+    lead = lambda least, other: any_of((F.col("rank") == 1) & (confidence >= least) & (score >= other) & F.col("_evident") & ~F.col("_strict"))
+    anchored = lead(0.88, 0.90) & ~any_of(rest & F.col("_strict"))
+    rival = rest & ((F.col("_evident") & (score >= F.col("_top") - 0.05) & (confidence >= F.col("_sure") - 0.05)) | (F.col("_strict") & (score >= F.col("_top") - 0.08)))
+    enough = F.when(F.col("_theme"), 0.82).otherwise(0.86)
+    resolved = any_of((confidence >= enough) & (score >= enough) & F.col("_evident") & ~F.col("_strict"))
+    unclear = (confidence < 0.80) | (score < 0.84) | F.arrays_overlap("flags", F.array(*(F.lit(x) for x in UNCLEAR_FLAGS))) | ((F.col("lane") >= 1) & F.col("_strict"))
+    known = known.withColumn("_ask", unclear & (~F.col("_theme") | F.col("_strict"))).withColumn("_settled", anchored | (lead(0.90, 0.92) & ~any_of(rival)) | F.col("_payload") | resolved)
+    asked = known.withColumn("_asked", F.count_if(F.col("_ask")).over(whole))
+    return asked.where("NOT _settled AND _ask AND _asked >= 2").select(*rows.columns)
+
+
 def page_class(url: Column) -> Column:
     lower = F.lower(url)
     return F.when(lower.contains("forum") | lower.contains("thread"), "forum").when(lower.contains("api") | lower.contains("docs"), "docs").otherwise("article")

@@ -136,6 +136,13 @@ def pack23_ambiguity(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("chunk_no", F.round("ambiguity", 6).alias("ambiguity"), ranking.lane(F.col("ambiguity"), "standard").alias("lane"), ranking.lane(F.col("ambiguity"), "tiny").alias("tiny_lane"), F.array_join(ranking.risk_flags(F.col("ambiguity")), ",").alias("flags"))
 
 
+def pack25_ambiguity_routes(spark: SparkSession, root: str) -> DataFrame:
+    """Chunks that a further look is asked for, by document."""
+    rows = ranking.ranked(ranked_chunk_rows(spark, root), "doc_id").withColumn("ambiguity", ranking.ambiguity())
+    rows = rows.withColumn("lane", ranking.lane(F.col("ambiguity"), "standard")).withColumn("flags", ranking.risk_flags(F.col("ambiguity")))
+    return ranking.ambiguity_routes(rows, "doc_id").select("doc_id", "chunk_no", "rank")
+
+
 def pack24_page_classes(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "documents").select(ranking.page_class(F.col("url")).alias("page_type"), "doc_id")
     return rows.groupBy("page_type").agg(F.count("*").alias("documents"))
@@ -173,7 +180,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         flagship_packets, packet_sizes, h01_aggressive_nodes, h01_nodes, h01_unpruned_nodes, h08_titles, h13_substrates, h16_signals, h17_links, h18_identities, h20_segments, s04_within_limits, s09_line_blocks, s09_text_blocks,
-        pack03_chunk_scores, pack05_weights, pack06_ranked_chunks, pack11_selected_chunks, pack13_deduplicated_chunks, pack16_stability, pack17_outlines, pack23_ambiguity, pack24_page_classes, pack28_utility, pack31_uncertainty, v01_proofs,
+        pack03_chunk_scores, pack05_weights, pack06_ranked_chunks, pack11_selected_chunks, pack13_deduplicated_chunks, pack16_stability, pack17_outlines, pack23_ambiguity, pack24_page_classes, pack25_ambiguity_routes, pack28_utility, pack31_uncertainty, v01_proofs,
     )
 }
 
@@ -250,6 +257,13 @@ WITH r AS (SELECT DISTINCT snapshot_no, document_id, lower(trim(fingerprint)) AS
 g AS (SELECT a.snapshot_no, a.document_id, count(*) AS prints, count(b.fp) AS stable FROM r a LEFT JOIN r b ON b.snapshot_no = a.snapshot_no - 1 AND b.document_id = a.document_id AND b.fp = a.fp GROUP BY 1, 2)
 SELECT *, prints - stable AS novel, CASE WHEN stable = prints THEN 'stable' WHEN stable = 0 THEN 'changed' ELSE 'mixed' END AS delta_class FROM g""",
     "pack23_ambiguity": _CHUNKS + f", a AS (SELECT *, {_AMBIGUITY} AS ambiguity FROM s), l AS (SELECT *, {_LANE} AS lane FROM a) SELECT chunk_no, round(ambiguity, 6) AS ambiguity, lane, CASE WHEN lane >= 2 OR ambiguity >= 0.60 THEN 3 ELSE lane END AS tiny_lane, array_to_string(list_filter([CASE WHEN 1 - alignment > 0.50 THEN 'coverage_gap' END, CASE WHEN ambiguity > 0.50 THEN 'high_ambiguity' END, CASE WHEN depth = 0 THEN 'missing_heading_context' END, CASE WHEN strlen(text) < 48 THEN 'short_segment' END], lambda x: x IS NOT NULL), ',') AS flags FROM l",
+    "pack25_ambiguity_routes": _RANKED + f""", a AS (SELECT *, {_AMBIGUITY} AS ambiguity FROM ranked), l AS (SELECT *, {_LANE} AS lane, (ambiguity > 0.50 OR 1 - alignment > 0.50) AS strict FROM a),
+top AS (SELECT doc_id, score AS s1, confidence AS c1, strict AS strict1 FROM l WHERE rank = 1),
+g AS (SELECT l.*, s1, c1, strict1 FROM l JOIN top USING (doc_id)),
+settled AS (SELECT doc_id, (any_value(c1) >= 0.88 AND any_value(s1) >= 0.90 AND NOT any_value(strict1) AND NOT bool_or(rank > 1 AND strict))
+  OR (any_value(c1) >= 0.90 AND any_value(s1) >= 0.92 AND NOT any_value(strict1) AND NOT bool_or(rank > 1 AND ((score >= s1 - 0.05 AND confidence >= c1 - 0.05) OR (strict AND score >= s1 - 0.08)))) OR bool_or(confidence >= 0.86 AND score >= 0.86 AND NOT strict) AS done FROM g GROUP BY doc_id),
+asking AS (SELECT doc_id, chunk_no, rank, count(*) OVER (PARTITION BY doc_id) AS n FROM g JOIN settled USING (doc_id) WHERE NOT done AND (confidence < 0.80 OR score < 0.84 OR strict))
+SELECT doc_id, chunk_no, rank FROM asking WHERE n >= 2""",
     "pack24_page_classes": "SELECT CASE WHEN lower(url) LIKE '%forum%' OR lower(url) LIKE '%thread%' THEN 'forum' WHEN lower(url) LIKE '%api%' OR lower(url) LIKE '%docs%' THEN 'docs' ELSE 'article' END AS page_type, count(*) AS documents FROM documents GROUP BY 1",
     "pack28_utility": _CHUNKS + f""", u AS (SELECT chunk_no, depth, {_CLEAN} AS t FROM m),
 x AS (SELECT *, len(t) AS size, len(t) - len(translate(t, '.!?;:', '')) AS n, list_filter(string_split(t, ' '), lambda x: x <> '') AS tw FROM u)
