@@ -179,7 +179,7 @@ def _host_priors(first: DataFrame) -> DataFrame:
     sums = up.groupBy("parent").agg(total.alias("m"))
     whole = counts.agg(total.alias("m")).first().m
     base = np.array([x or 0.0 for x in whole]) + 1.0
-    levels = up.select("domain", "depth", "parent").join(sums, "parent")
+    levels = join_small(up.select("domain", "depth", "parent"), stage(sums), ["parent"])  # a suffix may be that of all hosts
     chain = levels.groupBy("domain").agg(F.reverse(F.array_sort(F.collect_list(F.struct("depth", "m")))).alias("chain"))  # at most as long as the name has parts
     start = F.array(*(F.lit(float(x)) for x in base / base.sum()))
     norm = lambda m: F.aggregate(m, F.lit(0.0), lambda a, x: a + x)
